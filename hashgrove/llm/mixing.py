@@ -132,7 +132,7 @@ l AS (SELECT min((total - below)::DOUBLE / above) FILTER ((total - below) * wt <
 lm AS (SELECT f.source, f.ord, f.ssize, f.wt, CASE WHEN (total - below) * wt > 2 * ssize * above THEN 2.0 * ssize ELSE NULL END AS capped, total FROM f),
 g AS (SELECT *, (total - coalesce(sum(capped) OVER (), 0)) AS rest, sum(wt) FILTER (capped IS NULL) OVER () AS wrest FROM lm),
 x AS (SELECT source, ord, ssize, coalesce(capped, (rest * wt)::DOUBLE / wrest)::DOUBLE AS target FROM g),
-b AS (SELECT greatest(1, least({MAX_BLOCK}, (min(target) FILTER (target > 0) // {BLOCKS_OF_LEAST})))::BIGINT AS block, sum(target) AS tt, greatest(1, ceil(sum(ssize) / {SHARD_WORDS}.0))::BIGINT AS shards FROM x),
+b AS (SELECT greatest(1, least({MAX_BLOCK}, floor(min(target) FILTER (target > 0) / {BLOCKS_OF_LEAST})))::BIGINT AS block, sum(target) AS tt, greatest(1, ceil(sum(ssize) / {SHARD_WORDS}.0))::BIGINT AS shards FROM x),
 q AS (SELECT source, ord, target / (2 * k - 1) AS quotient FROM (SELECT x.*, unnest(range(1, 2 * ssize // block + 1)) AS k FROM x, b WHERE target > 0)),
 r AS (SELECT source, ord, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, ord) AS rn FROM q) WHERE rn <= (SELECT round_even(tt / block, 0) FROM b) GROUP BY source, ord),
 dd AS (SELECT doc_id, source, size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM d),
