@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashgrove.llm.shared import staged
-from hashgrove.llm.words import U64, Words, chunks, mix, spans_hash, utf8
+from hashgrove.llm.words import U64, Words, chunks, distinct, mix, spans_hash, utf8
 
 #: Common words that anchor a spot, in four languages.
 ANCHORS = (
@@ -61,7 +61,7 @@ def spot_sets(texts: list[bytes | None]) -> list[np.ndarray]:
         full = (spans_hash(w.hash, w.bound[:-1], w.bound[1:]) >> U64(32)).astype(np.uint32)
         for i in range(b - a):
             if cut[i + 1] > cut[i]:
-                out.append(np.unique(sig[cut[i] : cut[i + 1]]))
+                out.append(distinct(sig[cut[i] : cut[i + 1]]))
             else:
                 out.append(full[i : i + 1] if w.bound[i + 1] > w.bound[i] else np.zeros(0, dtype=np.uint32))
     return out

@@ -34,6 +34,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats the hash table of np.unique on short arrays."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Order-sensitive hash of values[s:e] for every span; equal content gives equal hashes."""
     total = np.zeros(len(values) + 1, dtype=U64)
