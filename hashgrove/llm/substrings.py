@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.llm.shared import staged, unstage
+from hashgrove.llm.shared import may_hold, staged, unstage
 from hashgrove.llm.words import U64, Words, chunks, mix, spans_hash, utf8
 
 WINDOW, GRAM, RUN = 50, 15, 64
@@ -169,7 +169,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             places = [p or (None, None) for p in out["place"]]
             yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["seg"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int64()), pa.array(out["check"], pa.int64()), pa.array(out["words"], pa.binary())], names=["key", "seg", "doc_id", "place", "main", "check", "words"])
 
-    pieces = rows.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(cut, "key long, seg long, doc_id long, place int, main long, check long, words binary")
+    wanted = staged(wanted, "wanted-segments")
+    pieces = may_hold(rows, F.col("th"), wanted, F.col("th")).where("__may").join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(cut, "key long, seg long, doc_id long, place int, main long, check long, words binary")
     pieces = staged(pieces, "segment-words")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +223,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spans = staged(repeated_spans(docs, window), "repeated")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__d"), F.xxhash64("text").alias("__t"), "text")
-    joined = rows.join(spans.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans"), ["__d", "__t"], "left").select("doc_id", "text", "spans")
+    rows = may_hold(rows, F.col("__t"), spans, F.col("th"))
+    joined = rows.where("__may").join(spans.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spans"), ["__d", "__t"], "left").select("doc_id", "text", "spans")
+    joined = joined.union(rows.where("NOT __may").select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
