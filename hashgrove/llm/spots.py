@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashgrove.llm.shared import staged
-from hashgrove.llm.words import U64, Words, chunks, distinct, mix, spans_hash, utf8
+from hashgrove.llm.words import U64, Words, chunks, distinct, mix, pieces, spans_hash
 
 #: Common words that anchor a spot, in four languages.
 ANCHORS = (
@@ -168,9 +168,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in chunks(texts):
-                found = spot_sets(texts[a:b])
+            for a, b, texts in pieces(batch.column("text")):
+                found = spot_sets(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))], names=["doc_id", "sigs"])
 
     found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, sigs array<long>").withColumn("key", F.sha2(F.array_join(F.col("sigs").cast("array<string>"), ","), 256)), "spots")

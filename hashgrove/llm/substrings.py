@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashgrove.llm.shared import may_hold, staged, unstage
-from hashgrove.llm.words import U64, Words, chunks, mix, spans_hash, utf8
+from hashgrove.llm.words import U64, Words, mix, pieces, spans_hash
 
 WINDOW, GRAM, RUN = 50, 15, 64
 #: Segments of different content under one minimizer beyond which its windows are compared one by one.
@@ -130,10 +130,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("th").to_numpy()
-            for a, b in chunks(texts):
-                text, first, count, key, seg = window_runs(Words(texts[a:b]), window)
+            for a, _, texts in pieces(batch.column("text")):
+                text, first, count, key, seg = window_runs(Words(texts), window)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a + text], hashes[a + text], first.astype(np.int32), count.astype(np.int32), key.view(np.int64), seg.view(np.int64))], names=["doc_id", "th", "first", "n", "key", "seg"])
 
     occurrences = staged(rows.mapInArrow(runs, "doc_id long, th long, first int, n int, key long, seg long"), "runs")
@@ -147,10 +146,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cold segments with their words; of hot ones a row for each window with its hash."""
-        for batch in batches:
+        for batch, a, b, texts in ((batch, *piece) for batch in batches for piece in pieces(batch.column("text"))):
             out: dict[str, list] = {c: [] for c in ("key", "seg", "doc_id", "place", "check", "words")}
-            texts = utf8(batch.column("text"))
-            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), texts, batch.column("wanted").to_pylist()):
+            for doc, text, wanted in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), texts, batch.column("wanted").slice(a, b - a).to_pylist()):
                 words = text.split()
                 hashes = None
                 for x in wanted:
@@ -229,10 +227,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for a, b in chunks(texts):
+            for a, b, texts in pieces(batch.column("text")):
                 n_words, n_removed, kept = [], [], []
-                for text, spans in zip(texts[a:b], batch.column("spans").slice(a, b - a).to_pylist()):
+                for text, spans in zip(texts, batch.column("spans").slice(a, b - a).to_pylist()):
                     words = (text or b"").split()
                     n_words.append(len(words))
                     for x, y in reversed(merge(spans or [])):

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes (fixed values).
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -60,8 +61,16 @@ def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary()).to_pylist()
+def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(start, end, UTF-8 texts) runs of a text column of about limit bytes, so a batch is never held twice."""
+    column = column.cast(pa.large_binary())
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 class Words:
