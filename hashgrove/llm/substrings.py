@@ -168,8 +168,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["seg"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int64()), pa.array(out["check"], pa.int64()), pa.array(out["words"], pa.binary())], names=["key", "seg", "doc_id", "place", "main", "check", "words"])
 
     wanted = staged(wanted, "wanted-segments")
-    pieces = may_hold(rows, F.col("th"), wanted, F.col("th")).where("__may").join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(cut, "key long, seg long, doc_id long, place int, main long, check long, words binary")
-    pieces = staged(pieces, "segment-words")
+    cuts = may_hold(rows, F.col("th"), wanted, F.col("th")).where("__may").join(wanted, ["doc_id", "th"]).select("doc_id", "text", "wanted").mapInArrow(cut, "key long, seg long, doc_id long, place int, main long, check long, words binary")
+    cuts = staged(cuts, "segment-words")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key and doc_id: one automaton a key, asked before the document's own words are added."""
@@ -191,8 +191,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "seg", "spans"])
 
     span = "array<struct<a:int,b:int>>"
-    cold = pieces.where("words IS NOT NULL").repartition("key").sortWithinPartitions("key", "doc_id").select("key", "seg", "doc_id", "words").mapInPandas(stream, f"key long, seg long, spans {span}")
-    hot = pieces.where("words IS NULL")
+    cold = cuts.where("words IS NOT NULL").repartition("key").sortWithinPartitions("key", "doc_id").select("key", "seg", "doc_id", "words").mapInPandas(stream, f"key long, seg long, spans {span}")
+    hot = cuts.where("words IS NULL")
     oldest = hot.groupBy("main", "check").agg(F.min("doc_id").alias("oldest"))
     hot = hot.join(oldest, ["main", "check"]).where("doc_id > oldest").groupBy("key", "seg").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + window).alias("b"))).cast(span).alias("spans"))
     found = cold.union(hot)
