@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashgrove.llm.shared import staged, unstage
-from hashgrove.llm.words import U64, Words, chunks, distinct, mix, shingles, utf8
+from hashgrove.llm.shared import may_hold, staged, unstage
+from hashgrove.llm.words import U64, Words, distinct, mix, pieces, shingles
 
 SIZE, PERCENT = 5, 75
 #: Longest prefix step, and the candidate cost that each step is to divide.
@@ -25,6 +24,8 @@ STEPS, COST = 4, 8
 BIG, LEADERS, STAR_SHARE = 64, 8, 8
 #: How many of the most frequent shingles stand last in the order: the bound of what is broadcast.
 FREQUENT, FREQUENT_LEAST = 200_000, 24
+#: Candidates of a set that are verified at once; the others wait until components are known.
+FIRST = 2
 ROWS, BLOCK = 1 << 18, 1 << 20
 
 
@@ -33,10 +34,10 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-def text_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+def text_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text, A-Z folded."""
-    for a, b in chunks(texts):
-        h, owner = shingles(Words(texts[a:b], lower=True), SIZE)
+    for a, b, texts in pieces(column):
+        h, owner = shingles(Words(texts, lower=True), SIZE)
         cut = np.searchsorted(owner, np.arange(b - a + 1))
         for i in range(b - a):
             yield distinct(h[cut[i] : cut[i + 1]])
@@ -48,8 +49,19 @@ def set_key(s: np.ndarray) -> int:
         return int((mix(mix(s + U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(s))))[0].view(np.int64))
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set as six bytes a shingle: 48 bits keep a pair of sets of a thousand apart but once in 10**8."""
+    return np.ascontiguousarray((s >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The FREQUENT most frequent of the shingles that any chunk of about four million holds often; sorted by hash, with counts.
+    """The FREQUENT most frequent of the shingles that any chunk of about two million holds often; sorted by hash, with counts.
 
     Only the order of shingles rests on it, never which pairs link.
     """
@@ -57,18 +69,22 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 3
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.diff(np.append(begin, len(h)))
+            keep, h = n >= 3, h[begin]
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["s", "n"])
 
         for batch in batches:
-            for s in text_sets(utf8(batch.column("text"))):
+            for s in text_sets(batch.column("text")):
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if size:
             yield flush()
 
     top = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
@@ -118,8 +134,8 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
         yield tuple(rest)
 
 
-PROBES = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("k", pa.int64()), ("m", pa.int64()), ("other", pa.list_(pa.int64())), ("levels", pa.list_(pa.int8()))])
-PROBES_DDL = "kind byte, t long, k long, m long, other array<long>, levels array<byte>"
+PROBES = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("k", pa.int64()), ("m", pa.int64()), ("other", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int8()))])
+PROBES_DDL = "kind byte, t long, k long, m long, other array<long>, sizes array<int>, levels array<byte>"
 
 
 def candidates_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +161,15 @@ def candidates_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ks, ss, ls, ms = keys[order], size[order], level[order], meta[order]
                 low = np.searchsorted(ss, needed(ss))
                 for i in np.flatnonzero(low < np.arange(len(ks))).tolist():
-                    put(0, int(t[a]), int(ks[i]), int(ms[i]), ks[low[i] : i], np.maximum(ls[low[i] : i], ls[i]))
+                    put(0, int(t[a]), int(ks[i]), int(ms[i]), ks[low[i] : i], ss[low[i] : i].astype(np.int32), np.maximum(ls[low[i] : i], ls[i]))
             else:
                 lead = np.arange(min(LEADERS, len(keys)))
                 for i in range(len(keys)):
-                    put(2, int(t[a]), int(keys[i]), int(meta[i]), None, None)
+                    put(2, int(t[a]), int(keys[i]), int(meta[i]), None, None, None)
                     if int(t[a]) % STAR_SHARE == 0:
                         fit = lead[(lead != i) & (np.minimum(size[lead], size[i]) >= needed(np.maximum(size[lead], size[i])))]
                         if len(fit):
-                            put(1, int(t[a]), int(keys[i]), int(meta[i]), keys[fit], np.zeros(len(fit), dtype=np.int8))
+                            put(1, int(t[a]), int(keys[i]), int(meta[i]), keys[fit], size[fit].astype(np.int32), np.zeros(len(fit), dtype=np.int8))
         if out["t"]:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PROBES], schema=PROBES)
 
@@ -179,7 +195,7 @@ def cross_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 span = slice(low[i], high[i])
                 ok = (comp[span] != comp[i]) & ((comp[span] == main) | (np.arange(low[i], high[i]) < i))
                 if ok.any():
-                    for col, v in zip(out.values(), (0, int(t[a]), int(keys[i]), int(meta[i]), keys[span][ok], np.maximum(level[span][ok], level[i]))):
+                    for col, v in zip(out.values(), (0, int(t[a]), int(keys[i]), int(meta[i]), keys[span][ok], size[span][ok].astype(np.int32), np.maximum(level[span][ok], level[i]))):
                         col.append(v)
                     held += int(ok.sum())
                 if held > BLOCK:
@@ -189,21 +205,71 @@ def cross_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PROBES], schema=PROBES)
 
 
-def multi_match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one probe set that share enough prefix shingles: l is lengthened while the expected cost asks for it."""
-    k = int(rows.k.iloc[0])
-    probes = rows[rows.kind == 0]
-    pairs = [np.concatenate(rows[rows.kind == 1].other.to_list())] if (rows.kind == 1).any() else []
-    if len(probes):
-        other, level = np.concatenate(probes.other.to_list()), np.concatenate(probes.levels.to_list())
-        size = int(probes.m.iloc[0]) >> 3
-        cost, step = int((level <= 1).sum()), 1
-        while cost > COST and step < min(STEPS, int(needed(np.int64(size)))):
-            cost, step = cost // COST, step + 1
-        names, n = np.unique(other[level <= step], return_counts=True)
-        pairs.append(names[n >= step])
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"x": k, "y": found})
+def multi_match(adaptive: bool):
+    """Candidates of each probe set that share enough prefix shingles, from rows sorted by the probe, k.
+
+    With l steps, a pair shares at most c + max(O) - l shingles, where c counts those in both prefixes and O is
+    ``needed`` of a size: shingles before the end of the nearer prefix are in both, the rest lie after it. So c must reach
+    l, and what the pair's own least overlap asks beyond max(O). ``adaptive`` lengthens l by a probe's candidates,
+    and grants the shingles of its crowded groups as matches; then a pair that shares any other shingle is decided here.
+    Without it, l is 1: the later pass over crowded groups, for pairs that share nothing else.
+    """
+    def decide(table: pa.Table) -> pa.RecordBatch:
+        k, kind, m = (table.column(c).to_numpy() for c in ("k", "kind", "m"))
+        names, group = np.unique(k, return_inverse=True)
+        size = np.zeros(len(names), dtype=np.int64)
+        size[group] = m >> 3
+        x, y, shared, asked = [], [], [], []
+        for which in (0, 1):
+            rows = np.flatnonzero(kind == which)
+            if not len(rows):
+                continue
+            part = table.take(pa.array(rows)).combine_chunks()
+            other, sizes, level = (part.column(c).combine_chunks() for c in ("other", "sizes", "levels"))
+            g = np.repeat(group[rows], np.diff(other.offsets.to_numpy()))
+            other, sizes, level = other.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), level.flatten().to_numpy()
+            if which == 0:
+                cost = np.bincount(g[level <= 1], minlength=len(names))
+                step = 1 + sum((cost > COST**i).astype(np.int64) for i in range(1, STEPS)) if adaptive else np.ones(len(names), dtype=np.int64)
+                step = np.minimum(step, needed(size))
+                crowded = (kind == 2) & ((m & 7) <= step[group])
+                granted = np.bincount(group[crowded], minlength=len(names)) if adaptive else np.zeros(len(names), dtype=np.int64)
+                near = level <= step[g]
+                g, other, sizes = g[near], other[near], sizes[near]
+            order = np.lexsort((other, g))
+            g, other, sizes = g[order], other[order], sizes[order]
+            begin = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (other[1:] != other[:-1])))) if len(g) else np.zeros(0, dtype=np.int64)
+            count = np.diff(np.append(begin, len(g)))
+            g, other, sizes = g[begin], other[begin], sizes[begin]
+            if which == 0:
+                pair = -(-PERCENT * (size[g] + sizes) // (100 + PERCENT))
+                least = np.maximum(step[g], pair - needed(np.maximum(size[g], sizes)) + step[g])
+                good = count + granted[g] >= least
+                g, other, count = g[good], other[good], count[good]
+            x.append(names[g])
+            y.append(other)
+            shared.append(count if which == 0 else np.zeros(len(g), dtype=np.int64))
+            asked.append(least[good] if which == 0 else np.zeros(len(g), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (x, y, shared, asked)], names=["x", "y", "shared", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch])
+            k = table.column("k").to_numpy()
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            if cut:
+                yield decide(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield decide(rest)
+
+    return run
+
+
+def matched(probes: DataFrame, adaptive: bool) -> DataFrame:
+    rows = probes.drop("t").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(multi_match(adaptive), "x long, y long, shared long, asked long")
 
 
 def prefix_rows(docs: DataFrame, order) -> DataFrame:
@@ -213,7 +279,7 @@ def prefix_rows(docs: DataFrame, order) -> DataFrame:
         for batch in batches:
             seen: set[int] = set()
             ts, ks, ms, held = [], [], [], 0
-            for s in text_sets(utf8(batch.column("text"))):
+            for s in text_sets(batch.column("text")):
                 key = set_key(s)
                 if not len(s) or key in seen:
                     continue
@@ -243,23 +309,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for p, q in zip(batch.column("p"), batch.column("q")):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (p, q))
-                both = len(np.intersect1d(u, v, assume_unique=True))
+                u, v = (unpacked(z.as_buffer()) for z in (p, q))
+                w = np.sort(np.concatenate((u, v)))
+                both = int((w[1:] == w[:-1]).sum())
                 ok.append(100 * both >= PERCENT * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
     left, right = sets.select(F.col("k").alias("x"), F.col("s").alias("p")), sets.select(F.col("k").alias("y"), F.col("s").alias("q"))
     return pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(check, "a long, b long")
 
 
+def crowd_checked(pairs: DataFrame, big: DataFrame) -> DataFrame:
+    """The pairs whose shared shingles, with those that both hold in crowded groups, are as many as asked; and which are
+    among the FIRST likeliest of their probe set."""
+    crowd = big.groupBy("k").agg(F.collect_set("t").alias("ts"))
+    none = F.array().cast("array<long>")
+    at = lambda end: crowd.select(F.col("k").alias(end), F.col("ts").alias(f"t{end}"))
+    found = pairs.join(at("x"), "x", "left").join(at("y"), "y", "left")
+    count = F.col("shared") + F.size(F.array_intersect(F.coalesce("tx", none), F.coalesce("ty", none)))
+    found = found.select("x", "y", "asked", count.alias("shared")).where("shared >= asked")
+    return found.withColumn("best", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y")) <= FIRST).select("x", "y", "best")
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose ends are not yet in one component; the others cannot change any."""
+    at = lambda end: comp.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
+    found = pairs.join(at("x"), "x", "left").join(at("y"), "y", "left")
+    return found.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k (the set's name) and component_id of every row of docs (doc_id, text).
 
     A component is named by its least doc_id; a null doc_id counts as the largest long. Null and empty texts
     have no shingles, link with nothing and are their own component; equal sets are collapsed before pairing, so
-    copies are never paired; near copies on a crowded shingle are first linked to leaders, then only compared
-    across components. Whole texts are used and no link is lost; an empty table gives no rows.
+    copies are never paired; each set's likeliest candidates are verified first, and near copies on a crowded shingle
+    are linked to leaders, then all others only across components. Whole texts are used and no link is lost; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
@@ -267,7 +352,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k = [], []
-            for s in text_sets(utf8(batch.column("text"))):
+            for s in text_sets(batch.column("text")):
                 n.append(len(s))
                 k.append(set_key(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "n", "k"])
@@ -276,30 +361,38 @@ def link_documents(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(frequent_shingles(rows))
     probes = prefix_rows(rows, order).repartition("t").sortWithinPartitions("t").mapInArrow(candidates_of, PROBES_DDL)
     probes = staged(probes, "probes")
-    first = probes.where("kind < 2").groupBy("k").applyInPandas(multi_match, "x long, y long")
-    first = staged(first, "candidates")
     big = probes.where("kind = 2").select("t", "k", "m")
-
-    wanted = first.select(F.col("x").alias("k")).union(first.select(F.col("y").alias("k"))).union(big.select("k")).distinct()
-    holders = members.where("n > 0").groupBy("k").agg(F.min("o").alias("o")).join(wanted, "k")
-    holders = staged(holders.select(F.col("o"), "k"), "holders")
+    first = staged(crowd_checked(matched(probes, True), big), "candidates")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks = batch.column("k").to_pylist()
-            found = [(k, s.tobytes()) for k, s in zip(ks, text_sets(utf8(batch.column("text")))) if set_key(s) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["k", "s"])
+            k, s = [], []
+            for found in text_sets(batch.column("text")):
+                k.append(set_key(found))
+                s.append(packed(found))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.binary())], names=["k", "s"])
 
     texts = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), "text")
-    sets = texts.join(holders, "o").select("k", "text").mapInArrow(extract, "k long, s binary").dropDuplicates(["k"])
-    sets = staged(sets, "sets")
-    links = staged(verified(first, sets), "links")
+    holders = staged(members.where("n > 0").groupBy("k").agg(F.min("o").alias("o")), "holders")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only their own sets are read, each from its least document."""
+        pairs = staged(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "pairs")
+        ids = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct()
+        ids = staged(holders.join(ids, "k", "left_semi"), "pair-sets")
+        own = may_hold(texts, F.col("o"), ids, F.col("o")).where("__may")
+        sets = staged(own.select("text").mapInArrow(extract, "k long, s binary"), "sets")
+        return staged(verified(pairs, sets), "links")
+
+    links = linked(first.where("best"))
+    comp = components(links)
+    more = linked(apart(first.where("NOT best"), comp))
+    links = links.union(more)
     comp = components(links)
     if not big.isEmpty():
         labelled = big.join(comp.withColumnRenamed("v", "k"), "k", "left").select("t", "k", "m", F.coalesce("c", "k").alias("c"))
         cross = labelled.repartition("t").sortWithinPartitions("t").mapInArrow(cross_candidates, PROBES_DDL)
-        second = cross.groupBy("k").applyInPandas(multi_match, "x long, y long")
-        comp = components(links.union(verified(second, sets)))
+        comp = components(links.union(linked(matched(cross, False))))
     names = members.select("k", "o", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("o").alias("component_id"))
     named = comp.join(names, "c").select(F.col("v").alias("k"), "component_id")
     alone = members.where("n > 0").groupBy("k").agg(F.min("o").alias("own"))
