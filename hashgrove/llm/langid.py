@@ -115,7 +115,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         return None
     share = spark.createDataFrame([(k, sample_docs / n) for k, n in counts.items()], "lang string, share double")
     picked = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
-    sample = labelled.join(share, "lang").where(picked).select("text", "lang")
+    sample = labelled.join(F.broadcast(share), "lang").where(picked).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
