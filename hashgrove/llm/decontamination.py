@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashgrove.llm.shared import small_batches
 from hashgrove.llm.words import Words, chunks, distinct, spans_hash
 
 K1, B = 1.2, 0.75
@@ -237,6 +238,7 @@ HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
 
 
 def hits_column(docs: DataFrame, index: Index, text: Column) -> Column:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf(HITS)

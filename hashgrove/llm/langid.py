@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashgrove.llm.shared import small_batches
 from hashgrove.llm.words import U64, chunks
 
 #: Labelled documents learned from, for each language, and the most languages: bounds of what training gathers.
@@ -107,6 +108,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     from; sums over n-grams and the margins of that sample are all that reaches the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -174,6 +176,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = "lang_pred string, score double, ambiguous boolean"
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "ambiguous": F.lit(False)})
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashgrove.llm.shared import may_hold, staged, unstage
+from hashgrove.llm.shared import may_hold, small_batches, staged, unstage
 from hashgrove.llm.words import U64, Words, distinct, mix, pieces, shingles
 
 SIZE, PERCENT = 5, 75
@@ -347,6 +347,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     are linked to leaders, then all others only across components. Whole texts are used and no link is lost; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

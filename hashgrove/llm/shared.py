@@ -37,6 +37,17 @@ def unstage(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+#: Rows of one Arrow batch of texts: what a Python worker holds at once stays small beside the executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger, before texts go to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
