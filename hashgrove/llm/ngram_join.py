@@ -341,7 +341,7 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k (the set's name) and component_id of every row of docs (doc_id, text).
 
-    A component is named by its least doc_id; a null doc_id counts as the largest long. Null and empty texts
+    A component is named by its least doc_id, null if it has none; a null doc_id counts as the largest. Null and empty texts
     have no shingles, link with nothing and are their own component; equal sets are collapsed before pairing, so
     copies are never paired; each set's likeliest candidates are verified first, and near copies on a crowded shingle
     are linked to leaders, then all others only across components. Whole texts are used and no link is lost; an empty table gives no rows.
@@ -398,7 +398,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     named = comp.join(names, "c").select(F.col("v").alias("k"), "component_id")
     alone = members.where("n > 0").groupBy("k").agg(F.min("o").alias("own"))
     table = alone.join(named, "k", "left").select("k", F.coalesce("component_id", "own").alias("component_id"))
-    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")).alias("component_id"))
+    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")), F.lit((1 << 63) - 1)).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -408,8 +408,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their group: those of the component's least doc_id, repeated rows once; all columns stay."""
-    keep = link_documents(docs).where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("component_id")).select(F.col("component_id").alias("__o")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__o"), F.xxhash64("text").alias("__h"), F.struct("*").alias("__row"))
+    last = F.lit((1 << 63) - 1)
+    keep = link_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("component_id", last).alias("__o")).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("__o"), F.xxhash64("text").alias("__h"), F.struct("*").alias("__row"))
     return rows.join(keep, "__o", "left_semi").dropDuplicates(["__o", "__h"]).select("__row.*")
 
 
