@@ -32,7 +32,7 @@ def codewords(n: int) -> np.ndarray:
     if n <= 1:
         return np.ones((n, 1), dtype=np.int8)
     if n <= 6:
-        columns = range(1, 2 ** (n - 1))
+        columns = range(2 ** (n - 1) - 1)
         return np.array([[1] * len(columns), *([1 if c >> (i - 1) & 1 else -1 for c in columns] for i in range(1, n))], dtype=np.int8)
     bits, rng, best, at = int(np.ceil(8 * np.log2(n))), np.random.default_rng(7), None, -1
     for _ in range(50):
