@@ -67,3 +67,10 @@ def next_reason(held: str | None, old: str, new: str) -> str | None:
 def refs_after(replayed: DataFrame) -> DataFrame:
     """The refs that a replay leaves."""
     return replayed.groupBy("repo_id", "name").agg(F.max_by(F.struct("held"), "pos").alias("last")).select("repo_id", "name", F.col("last.held").alias("oid")).where("oid IS NOT NULL")
+
+
+def head_retarget(accepted: DataFrame, refs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(repo_id, branch) of repositories whose HEAD follows a push: they had no ref, and it gave them one branch, another than HEAD names."""
+    pushed = accepted.where("startswith(name, 'refs/heads/')").groupBy("repo_id").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1")
+    fresh = pushed.join(refs.select("repo_id").distinct(), "repo_id", "left_anti").join(heads.select("repo_id", "target"), "repo_id", "left")
+    return fresh.where("target IS NULL OR target <> name").select("repo_id", F.expr("substr(name, 12)").alias("branch"))

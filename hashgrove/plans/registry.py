@@ -283,7 +283,6 @@ def refs_after_push(spark, d):
 
 
 
-
 def one_push(spark: SparkSession, d: str) -> DataFrame:
     c = fixture(spark, d, "fx_commands")
     held = c.where("pos % 7 < 4 AND NOT bogus").groupBy("repo_id", "name").agg(F.max_by("new_oid", "pos").alias("oid"))
