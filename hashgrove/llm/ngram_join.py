@@ -22,6 +22,8 @@ SIZE, PERCENT = 5, 75
 STEPS, COST = 4, 8
 #: Sets on one prefix shingle beyond which pairs come from leaders first, then only between components.
 BIG, LEADERS, STAR_SHARE = 64, 8, 8
+#: Rows of a shingle beyond which it is dealt to several tasks; probes or members of a cell of a crowded group.
+DEALT, CELL = 1024, 4096
 #: How many of the most frequent shingles stand last in the order: the bound of what is broadcast.
 FREQUENT, FREQUENT_LEAST = 200_000, 24
 #: Candidates of a set that are verified at once; the others wait until components are known.
@@ -117,92 +119,159 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("c")).union(edges.select(F.col("v"), F.col("v").alias("c"))).distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole groups of equal ``t`` from batches sorted by it, many groups at a time."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if rest is not None:
-            own = [np.concatenate(p) for p in zip(rest, own)]
-        if not len(own[0]):
-            continue
-        cut = int(np.searchsorted(own[0], own[0][-1]))
-        if cut:
-            yield tuple(c[:cut] for c in own)
-        rest = [c[cut:] for c in own]
-    if rest is not None and len(rest[0]):
-        yield tuple(rest)
-
-
 PROBES = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("k", pa.int64()), ("m", pa.int64()), ("other", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int8()))])
 PROBES_DDL = "kind byte, t long, k long, m long, other array<long>, sizes array<int>, levels array<byte>"
 
 
-def candidates_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (t, k, m = size * 8 + level) sorted by t: kind 0, a probe set with its smaller candidates on a small
-    group; kind 1, its leaders on a big one; kind 2, a member of a big group, for later."""
-    for t, k, m in _groups(batches, ["t", "k", "m"]):
-        begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        end = np.append(begin[1:], len(t))
-        out: dict[str, list] = {f.name: [] for f in PROBES}
+def empty_rows() -> dict[str, list]:
+    return {f.name: [] for f in PROBES}
 
-        def put(*row) -> None:
-            for c, v in zip(out.values(), row):
-                c.append(v)
 
-        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-            keys, at = np.unique(k[a:b], return_index=True)
-            if len(keys) < 2:
-                continue
-            meta = m[a:b][at]
-            size, level = meta >> 3, (meta & 7).astype(np.int8)
-            if len(keys) <= BIG:
-                order = np.lexsort((keys, size))
-                ks, ss, ls, ms = keys[order], size[order], level[order], meta[order]
-                low = np.searchsorted(ss, needed(ss))
-                for i in np.flatnonzero(low < np.arange(len(ks))).tolist():
-                    put(0, int(t[a]), int(ks[i]), int(ms[i]), ks[low[i] : i], ss[low[i] : i].astype(np.int32), np.maximum(ls[low[i] : i], ls[i]))
-            else:
-                lead = np.arange(min(LEADERS, len(keys)))
-                for i in range(len(keys)):
-                    put(2, int(t[a]), int(keys[i]), int(meta[i]), None, None, None)
-                    if int(t[a]) % STAR_SHARE == 0:
-                        fit = lead[(lead != i) & (np.minimum(size[lead], size[i]) >= needed(np.maximum(size[lead], size[i])))]
-                        if len(fit):
-                            put(1, int(t[a]), int(keys[i]), int(meta[i]), keys[fit], size[fit].astype(np.int32), np.zeros(len(fit), dtype=np.int8))
-        if out["t"]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PROBES], schema=PROBES)
+def probe_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in PROBES], schema=PROBES)
+
+
+def put(rows: dict[str, list], *row) -> None:
+    for c, v in zip(rows.values(), row):
+        c.append(v)
+
+
+def paired(rows: dict[str, list], t: int, keys: np.ndarray, meta: np.ndarray) -> None:
+    """Each set of a small group with the smaller sets of it that it may link with."""
+    order = np.lexsort((keys, meta >> 3))
+    keys, meta = keys[order], meta[order]
+    size, level = meta >> 3, (meta & 7).astype(np.int8)
+    low = np.searchsorted(size, needed(size))
+    for i in np.flatnonzero(low < np.arange(len(keys))).tolist():
+        put(rows, 0, t, int(keys[i]), int(meta[i]), keys[low[i] : i], size[low[i] : i].astype(np.int32), np.maximum(level[low[i] : i], level[i]))
+
+
+def led(rows: dict[str, list], t: int, keys: np.ndarray, meta: np.ndarray, lead: np.ndarray, lead_size: np.ndarray) -> None:
+    """The members of a crowded group, for later; for one shingle in STAR_SHARE also with the group's leaders."""
+    star = t % STAR_SHARE == 0
+    for k, m in zip(keys.tolist(), meta.tolist()):
+        put(rows, 2, t, k, m, None, None, None)
+        if star:
+            n = m >> 3
+            fit = (lead != k) & (np.minimum(lead_size, n) >= needed(np.maximum(lead_size, n)))
+            if fit.any():
+                put(rows, 1, t, k, m, lead[fit], lead_size[fit].astype(np.int32), np.zeros(int(fit.sum()), dtype=np.int8))
+
+
+def candidates_of(crowd: int):
+    """From rows (t, z, k, m = size * 8 + level) sorted by t, z, k: kind 0, a probe set with its smaller candidates on a
+    small group; kind 1, its leaders on a crowded one; kind 2, a member of a crowded group, for later.
+
+    A group (t, z) is crowded beyond ``crowd`` sets, and always where z > 0: its shingle is dealt to many tasks. No more
+    than ``crowd`` sets of a group and one batch are held; the leaders, its first sets, stay for the rest of it.
+    """
+    def whole(rows: dict[str, list], t: int, z: int, k: np.ndarray, m: np.ndarray) -> None:
+        keys, at = np.unique(k, return_index=True)
+        if z or len(keys) > crowd:
+            led(rows, t, keys, m[at], keys[:LEADERS], m[at][:LEADERS] >> 3)
+        elif len(keys) > 1:
+            paired(rows, t, keys, m[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        going = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "z", "k", "m")]
+            rows = empty_rows()
+            if going is not None and len(own[0]):
+                t, z, last, lead, lead_size = going
+                same = (own[0] == t) & (own[1] == z)
+                n = len(same) if same.all() else int(same.argmin())
+                keys, at = np.unique(own[2][:n], return_index=True)
+                meta = own[3][:n][at]
+                fresh = keys != last
+                led(rows, t, keys[fresh], meta[fresh], lead, lead_size)
+                going = (t, z, int(keys[-1]), lead, lead_size) if n == len(same) else None
+                own = [c[n:] for c in own]
+            if rest is not None:
+                own = [np.concatenate(c) for c in zip(rest, own)]
+                rest = None
+            t, z, k, m = own
+            if len(t):
+                begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (z[1:] != z[:-1]))))
+                end = np.append(begin[1:], len(t))
+                many = (end - begin > 1) | (z[begin] > 0)
+                many[-1] = False
+                for a, b in zip(begin[many].tolist(), end[many].tolist()):
+                    whole(rows, int(t[a]), int(z[a]), k[a:b], m[a:b])
+                a = int(begin[-1])
+                keys, at = np.unique(k[a:], return_index=True)
+                if len(keys) > crowd:
+                    meta = m[a:][at]
+                    going = (int(t[a]), int(z[a]), int(keys[-1]), keys[:LEADERS], meta[:LEADERS] >> 3)
+                    led(rows, int(t[a]), keys, meta, keys[:LEADERS], meta[:LEADERS] >> 3)
+                else:
+                    tail = np.sort(at) + a
+                    rest = [c[tail] for c in own]
+            if rows["t"]:
+                yield probe_batch(rows)
+        if rest is not None:
+            rows = empty_rows()
+            whole(rows, int(rest[0][0]), int(rest[1][0]), rest[2], rest[3])
+            if rows["t"]:
+                yield probe_batch(rows)
+
+    return run
+
+
+def cross_cells(big: DataFrame, comp: DataFrame, cell: int) -> DataFrame:
+    """(cell, t, probe, main, k, m, c): crowded groups of more than one component, dealt to cells of about ``cell`` probes and members.
+
+    Probes are the sets outside the group's largest component. Each meets every block of members once, whatever the
+    group's size, so no task holds a group.
+    """
+    labelled = staged(big.join(comp.withColumnRenamed("v", "k"), "k", "left").select("t", "k", "m", F.coalesce("c", "k").alias("c")), "crowded")
+    sizes = labelled.groupBy("t", "c").agg(F.count("*").alias("n")).groupBy("t").agg(F.count("*").alias("__comps"), F.sum("n").alias("__all"), F.max(F.struct("n", "c")).alias("__top")).where("__comps > 1")
+    blocks = lambda n: F.ceil(n / cell).cast("int")
+    sizes = sizes.select("t", F.col("__top.c").alias("main"), blocks(F.col("__all")).alias("__mb"), blocks(F.col("__all") - F.col("__top.n")).alias("__pb"))
+    rows = labelled.join(sizes, "t")
+    deal = lambda n: F.pmod(F.xxhash64("k", F.lit(7)), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("__p", all_of("__pb")).withColumn("__m", deal(F.col("__mb"))).withColumn("probe", F.lit(0))
+    probes = rows.where("c <> main").withColumn("__m", all_of("__mb")).withColumn("__p", deal(F.col("__pb"))).withColumn("probe", F.lit(1))
+    both = members.unionByName(probes)
+    return both.select(F.xxhash64("t", "__p", "__m").alias("cell"), "t", "probe", "main", "k", "m", "c")
 
 
 def cross_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (t, k, m, c) of big groups sorted by t: each member outside its group's main component, with the members
-    of other components that it may link with. Groups of more than BLOCK rows are walked in blocks."""
-    for t, k, m, c in _groups(batches, ["t", "k", "m", "c"]):
-        begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(t)).tolist()):
-            keys, comp, size, level = k[a:b], c[a:b], m[a:b] >> 3, (m[a:b] & 7).astype(np.int8)
-            names, sizes = np.unique(comp, return_counts=True)
-            if len(names) < 2:
-                continue
-            main = names[sizes.argmax()]
-            order = np.lexsort((keys, size))
-            keys, comp, size, level, meta = keys[order], comp[order], size[order], level[order], m[a:b][order]
-            top = size * 100 // PERCENT
-            low, high = np.searchsorted(size, needed(size)), np.searchsorted(size, top, side="right")
-            out: dict[str, list] = {f.name: [] for f in PROBES}
-            held = 0
-            for i in np.flatnonzero(comp != main).tolist():
-                span = slice(low[i], high[i])
-                ok = (comp[span] != comp[i]) & ((comp[span] == main) | (np.arange(low[i], high[i]) < i))
-                if ok.any():
-                    for col, v in zip(out.values(), (0, int(t[a]), int(keys[i]), int(meta[i]), keys[span][ok], size[span][ok].astype(np.int32), np.maximum(level[span][ok], level[i]))):
-                        col.append(v)
-                    held += int(ok.sum())
-                if held > BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PROBES], schema=PROBES)
-                    out, held = {f.name: [] for f in PROBES}, 0
-            if out["t"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PROBES], schema=PROBES)
+    """From cells sorted by cell: each probe with the cell's members of other components that it may link with."""
+    def pairs(t, probe, main, k, m, c) -> Iterator[pa.RecordBatch]:
+        own = np.flatnonzero(probe == 0)
+        own = own[np.lexsort((k[own], m[own] >> 3))]
+        size, level = m[own] >> 3, (m[own] & 7).astype(np.int8)
+        rows, held = empty_rows(), 0
+        for i in np.flatnonzero(probe == 1).tolist():
+            n = int(m[i] >> 3)
+            a, b = np.searchsorted(size, int(needed(np.int64(n)))), np.searchsorted(size, n * 100 // PERCENT, side="right")
+            at = own[a:b]
+            before = (m[at] >> 3 < n) | ((m[at] >> 3 == n) & (k[at] < k[i]))
+            ok = (t[at] == t[i]) & (c[at] != c[i]) & ((c[at] == main[i]) | before)
+            if ok.any():
+                put(rows, 0, int(t[i]), int(k[i]), int(m[i]), k[at][ok], size[a:b][ok].astype(np.int32), np.maximum(level[a:b][ok], np.int8(m[i] & 7)))
+                held += int(ok.sum())
+            if held > BLOCK:
+                yield probe_batch(rows)
+                rows, held = empty_rows(), 0
+        if held:
+            yield probe_batch(rows)
+
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "t", "probe", "main", "k", "m", "c")]
+        if rest is not None:
+            own = [np.concatenate(c) for c in zip(rest, own)]
+        if len(own[0]):
+            begin = np.flatnonzero(np.concatenate(([True], own[0][1:] != own[0][:-1]))).tolist()
+            for a, b in zip(begin, begin[1:]):
+                yield from pairs(*(c[a:b] for c in own[1:]))
+            rest = [c[begin[-1] :] for c in own]
+    if rest is not None:
+        yield from pairs(*rest[1:])
 
 
 def multi_match(adaptive: bool):
@@ -272,13 +341,14 @@ def matched(probes: DataFrame, adaptive: bool) -> DataFrame:
     return rows.mapInArrow(multi_match(adaptive), "x long, y long, shared long, asked long")
 
 
-def prefix_rows(docs: DataFrame, order) -> DataFrame:
-    """(t, k, m) of the adaptive prefixes of every distinct set: t a shingle, k the set, m = size * 8 + the step that takes t in."""
+def prefix_rows(docs: DataFrame, order, dealt: int = DEALT) -> DataFrame:
+    """(t, z, k, m) of the adaptive prefixes of every distinct set: t a shingle, k the set, m = size * 8 + the step that
+    takes t in; z is 0, or from 1 on spreads a shingle seen over ``dealt`` times so that about so many rows meet in a task."""
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = order.value
         for batch in batches:
             seen: set[int] = set()
-            ts, ks, ms, held = [], [], [], 0
+            ts, zs, ks, ms, held = [], [], [], [], 0
             for s in text_sets(batch.column("text")):
                 key = set_key(s)
                 if not len(s) or key in seen:
@@ -286,21 +356,26 @@ def prefix_rows(docs: DataFrame, order) -> DataFrame:
                 seen.add(key)
                 least = int(needed(np.int64(len(s))))
                 take = min(len(s), len(s) - least + min(STEPS, least))
+                rank = np.zeros(len(s), dtype=U64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     rank = np.where(frequent[at] == s, counts[at], U64(0))
-                    s = s[np.lexsort((s, rank))] if rank.any() else s
+                    if rank.any():
+                        first = np.lexsort((s, rank))
+                        s, rank = s[first], rank[first]
                 ts.append(s[:take].view(np.int64))
+                parts = -(-rank[:take].astype(np.int64) // dealt)
+                zs.append(np.where(parts > 1, 1 + (mix(s[:take] ^ np.int64(key).view(U64)) >> U64(1)).view(np.int64) % np.maximum(parts, 1), 0))
                 ks.append(np.full(take, key))
                 ms.append(len(s) * 8 + np.maximum(1, np.arange(take) - (len(s) - least) + 1))
                 held += take
                 if held > ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ts, ks, ms)], names=["t", "k", "m"])
-                    ts, ks, ms, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ts, zs, ks, ms)], names=["t", "z", "k", "m"])
+                    ts, zs, ks, ms, held = [], [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ts, ks, ms)], names=["t", "k", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ts, zs, ks, ms)], names=["t", "z", "k", "m"])
 
-    return docs.select("text").mapInArrow(prefixes, "t long, k long, m long")
+    return docs.select("text").mapInArrow(prefixes, "t long, z long, k long, m long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,13 +413,14 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return found.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, k (the set's name) and component_id of every row of docs (doc_id, text).
 
     A component is named by its least doc_id, null if it has none; a null doc_id counts as the largest. Null and empty texts
     have no shingles, link with nothing and are their own component; equal sets are collapsed before pairing, so
     copies are never paired; each set's likeliest candidates are verified first, and near copies on a crowded shingle
-    are linked to leaders, then all others only across components. Whole texts are used and no link is lost; an empty table gives no rows.
+    are linked to leaders, then all others only across components. ``crowd``, ``dealt`` and ``cell`` say how many sets on a
+    shingle make it crowded, how many rows of it meet in one task, and how many of its sets are compared in one. Whole texts are used and no link is lost; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -360,7 +436,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     members = staged(rows.mapInArrow(describe, "doc_id long, n long, k long"), "members").withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     order = spark.sparkContext.broadcast(frequent_shingles(rows))
-    probes = prefix_rows(rows, order).repartition("t").sortWithinPartitions("t").mapInArrow(candidates_of, PROBES_DDL)
+    probes = prefix_rows(rows, order, dealt).repartition("t", "z").sortWithinPartitions("t", "z", "k").mapInArrow(candidates_of(crowd), PROBES_DDL)
     probes = staged(probes, "probes")
     big = probes.where("kind = 2").select("t", "k", "m")
     first = staged(crowd_checked(matched(probes, True), big), "candidates")
@@ -391,8 +467,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = links.union(more)
     comp = components(links)
     if not big.isEmpty():
-        labelled = big.join(comp.withColumnRenamed("v", "k"), "k", "left").select("t", "k", "m", F.coalesce("c", "k").alias("c"))
-        cross = labelled.repartition("t").sortWithinPartitions("t").mapInArrow(cross_candidates, PROBES_DDL)
+        cross = cross_cells(big, comp, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(cross_candidates, PROBES_DDL)
         comp = components(links.union(linked(matched(cross, False))))
     names = members.select("k", "o", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("o").alias("component_id"))
     named = comp.join(names, "c").select(F.col("v").alias("k"), "component_id")
@@ -401,9 +476,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")), F.lit((1 << 63) - 1)).alias("component_id"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **limits: int) -> DataFrame:
     """The columns of query op10."""
-    return link_documents(docs).select("doc_id", "n_shingles", "component_id")
+    return link_documents(docs, **limits).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -120,11 +120,27 @@ def test_substrings_hot_path(spark, sf, same, monkeypatch):
     same(substrings.digest(documents(spark, sf)), substrings.oracle(), sf)
 
 
-def test_join_crowded_path(spark, sf, same, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BIG", 2)
+@pytest.mark.parametrize("limits", [{"crowd": 2}, {"crowd": 2, "dealt": 4, "cell": 3}, {"crowd": 1, "dealt": 2, "cell": 1}])
+def test_join_crowded_path(limits, spark, sf, same, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 3)
-    monkeypatch.setattr(ngram_join, "COST", 1)
-    same(ngram_join.digest(documents(spark, sf)), ngram_join.oracle(), sf)
+    same(ngram_join.digest(documents(spark, sf), **limits), ngram_join.oracle(), sf)
+
+
+def test_crowded_groups_stream_like_whole_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    rows = sorted({(int(t), int(t) % 3, int(k) % (15 if t > 5 else 90)) for t, k in zip(r.integers(0, 12, 600), r.integers(0, 90, 600))})
+    t, z, k = (np.array(c) for c in zip(*rows))
+    m = (k % 7 + 40) * 8 + k % 4 + 1
+    seen = []
+    for step in (1, 7, 50, 10_000):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in (t, z, k, m)], names=["t", "z", "k", "m"]) for i in range(0, len(t), step)]
+        out = [row for b in ngram_join.candidates_of(20)(iter(cut)) for row in b.to_pylist()]
+        seen.append(sorted(map(repr, out)))
+        assert {x["kind"] for x in out} == {0, 1, 2}
+    assert all(x == seen[0] for x in seen)
 
 
 def test_components_of_a_path(spark):
