@@ -119,6 +119,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("c")).union(edges.select(F.col("v"), F.col("v").alias("c"))).distinct()
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind comp and of these too: stars of comp stand for the links behind it."""
+    return comp if links.isEmpty() else components(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).union(links))
+
+
 PROBES = pa.schema([("kind", pa.int8()), ("t", pa.int64()), ("k", pa.int64()), ("m", pa.int64()), ("other", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int8()))])
 PROBES_DDL = "kind byte, t long, k long, m long, other array<long>, sizes array<int>, levels array<byte>"
 
@@ -461,14 +466,11 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
         sets = staged(own.select("text").mapInArrow(extract, "k long, s binary"), "sets")
         return staged(verified(pairs, sets), "links")
 
-    links = linked(first.where("best"))
-    comp = components(links)
-    more = linked(apart(first.where("NOT best"), comp))
-    links = links.union(more)
-    comp = components(links)
+    comp = components(linked(first.where("best")))
+    comp = merged(comp, linked(apart(first.where("NOT best"), comp)))
     if not big.isEmpty():
         cross = cross_cells(big, comp, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(cross_candidates, PROBES_DDL)
-        comp = components(links.union(linked(matched(cross, False))))
+        comp = merged(comp, linked(matched(cross, False)))
     names = members.select("k", "o", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("o").alias("component_id"))
     named = comp.join(names, "c").select(F.col("v").alias("k"), "component_id")
     alone = members.where("n > 0").groupBy("k").agg(F.min("o").alias("own"))
