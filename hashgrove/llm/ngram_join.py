@@ -244,26 +244,44 @@ def cross_cells(big: DataFrame, comp: DataFrame, cell: int) -> DataFrame:
 
 
 def cross_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cells sorted by cell: each probe with the cell's members of other components that it may link with."""
+    """From cells sorted by cell: each probe with the cell's members of other components that it may link with.
+
+    The larger set of a pair, then the larger key, is k whichever of the two probes: a pair's main component differs
+    from shingle to shingle, and its shared shingles are counted by (k, other).
+    """
     def pairs(t, probe, main, k, m, c) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(probe == 0)
         own = own[np.lexsort((k[own], m[own] >> 3))]
         size, level = m[own] >> 3, (m[own] & 7).astype(np.int8)
-        rows, held = empty_rows(), 0
+        rows, turned, held = empty_rows(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            if turned:
+                x, y = (np.concatenate(v) for v in zip(*turned))
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                for q in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1):
+                    i, at = int(x[q[0]]), y[q]
+                    put(rows, 0, int(t[i]), int(k[i]), int(m[i]), k[at], (m[at] >> 3).astype(np.int32), np.maximum(m[at] & 7, m[i] & 7).astype(np.int8))
+            return probe_batch(rows)
+
         for i in np.flatnonzero(probe == 1).tolist():
             n = int(m[i] >> 3)
             a, b = np.searchsorted(size, int(needed(np.int64(n)))), np.searchsorted(size, n * 100 // PERCENT, side="right")
             at = own[a:b]
             before = (m[at] >> 3 < n) | ((m[at] >> 3 == n) & (k[at] < k[i]))
-            ok = (t[at] == t[i]) & (c[at] != c[i]) & ((c[at] == main[i]) | before)
+            other = (t[at] == t[i]) & (c[at] != c[i])
+            ok, after = other & before, at[other & ~before & (c[at] == main[i])]
             if ok.any():
                 put(rows, 0, int(t[i]), int(k[i]), int(m[i]), k[at][ok], size[a:b][ok].astype(np.int32), np.maximum(level[a:b][ok], np.int8(m[i] & 7)))
-                held += int(ok.sum())
+            if len(after):
+                turned.append((after, np.full(len(after), i)))
+            held += int(ok.sum()) + len(after)
             if held > BLOCK:
-                yield probe_batch(rows)
-                rows, held = empty_rows(), 0
+                yield flush()
+                rows, turned, held = empty_rows(), [], 0
         if held:
-            yield probe_batch(rows)
+            yield flush()
 
     rest: list[np.ndarray] | None = None
     for batch in batches:
