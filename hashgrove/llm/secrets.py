@@ -18,8 +18,8 @@ HARMLESS = "example sample dummy placeholder changeme test commit sha sha1 sha25
 DICTIONARY = "access account active admin after before build change class client code column commit config content count create data date default delete design device document element error event example field file filter first format function global group handler header image index input instance item label last length level link list local login main manager memory message method model module name network node number object option order output package page parameter parent password path pattern point position process product project property query random record reference report request result return role schema score search secret section select sequence server service session setting source start state status string style system table target template test text time title token type update user value version view window word".split()
 
 CANDIDATE = re.compile(
-    r"(?i:\b[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth)[a-z_]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<a>[^\s\"'<>,;]{6,200})"
-    r"|(?<![A-Za-z0-9+/_=.-])(?P<b>[A-Za-z0-9+/_-]{16,200}={0,2})"
+    r"(?i:\b[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth)[a-z_]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<a>[^\s\"'<>,;]{6,})"
+    r"|(?<![A-Za-z0-9+/_=.-])(?P<b>[A-Za-z0-9+/_-]{16,}={0,2})"
 )
 MAY_HOLD = r"[A-Za-z0-9+/_-]{16}|(?i:token|secret|passw|pwd|credential|api_?key|access_key|private_key|auth)"
 AROUND = 40
@@ -46,16 +46,15 @@ def coverage(low: str) -> float:
 def features(value: str, before: str, after: str, path: str) -> list[float]:
     """The forest's inputs: length, character transitions, dictionary coverage, path and neighbouring words."""
     n, low, near = len(value), value.lower(), re.findall(r"[a-z_0-9]+", before.lower())[-4:]
-    pairs = list(zip(value, value[1:]))
-    low_pairs = list(zip(low, low[1:]))
+    pairs = max(1, n - 1)
     return [
         float(n),
         sum(c.isdigit() for c in value) / n,
         sum(c.isupper() for c in value) / n,
         sum(not c.isalnum() for c in value) / n,
-        sum(kind(x) != kind(y) for x, y in pairs) / max(1, len(pairs)),
-        sum(x == y for x, y in pairs) / max(1, len(pairs)),
-        sum(x.isalpha() and y.isalpha() and ((x in "aeiou") != (y in "aeiou")) for x, y in low_pairs) / max(1, len(pairs)),
+        sum(kind(x) != kind(y) for x, y in zip(value, value[1:])) / pairs,
+        sum(x == y for x, y in zip(value, value[1:])) / pairs,
+        sum(x.isalpha() and y.isalpha() and ((x in "aeiou") != (y in "aeiou")) for x, y in zip(low, low[1:])) / pairs,
         coverage(low),
         float(all(c in "0123456789abcdef" for c in low)),
         float(any(any(k in w for k in CREDENTIAL) for w in near)),
@@ -68,7 +67,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str | None, path: str | None = None) -> Iterator[tuple[int, int, str, list[float]]]:
-    """(start, end, value, features) of each candidate in a whole text; bare ones need a letter and a digit."""
+    """(start, end, value, features) of each candidate in a whole text, however long; bare ones need a letter and a digit."""
     for m in CANDIDATE.finditer(text or ""):
         group = "a" if m["a"] is not None else "b"
         value, (a, b) = m[group], m.span(group)

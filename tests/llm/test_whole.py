@@ -1,6 +1,6 @@
 import random
 
-from hashgrove.llm import ngram_join
+from hashgrove.llm import ngram_join, secrets
 
 PAIR = "doc_id long, text string"
 
@@ -15,3 +15,13 @@ def test_pair_bridges_crowded_families_of_differing_main_components(spark):
     random.Random(3).shuffle(rows)
     got = {r.doc_id: r.component_id for r in ngram_join.digest(spark.createDataFrame(rows, PAIR).repartition(5)).collect()}
     assert got == {d: d // 1000 * 1000 for d, _ in rows}
+
+
+def test_long_secrets_are_whole(spark):
+    r, alnum = random.Random(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    head = "".join(r.choice(alnum) for _ in range(200))
+    keys = [head + "".join(r.choice(alnum) for _ in range(n - 200)) for n in (201, 5000, 5000)]
+    rows = [(2 * i + j, f"set {before}{key}{after} now") for i, key in enumerate(keys) for j, (before, after) in enumerate((("token = \"", "\""), ("auth ", "")))]
+    got = {(x.doc_id, x.start, x.end, x.secret) for x in secrets.scan(spark.createDataFrame(rows, PAIR)).collect()}
+    assert got == {(d, t.index(keys[d // 2]), t.index(keys[d // 2]) + len(keys[d // 2]), keys[d // 2]) for d, t in rows}
+    assert len({x.secret_sha256 for x in secrets.digest(spark.createDataFrame([(*x, None) for x in rows], PAIR + ", source string")).collect()}) == 3
