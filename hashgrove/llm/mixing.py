@@ -60,7 +60,7 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = SEED, text_hash: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
     Sizes are counted in words; a null or empty text has size 0 and takes 0. Per-source and
@@ -68,10 +68,12 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     MAX_SHARDS shards, else ValueError). Blocks go to sources, then to the shards of a source, by
     Sainte-Laguë; in a shard, documents stand in seeded order, the whole order is taken as often as
     its quota covers, and the leading blocks once more. A hot source has as many shards as any, so no task
-    holds it whole. Reruns agree; repeated rows count each; an empty table gives no rows.
+    holds it whole. Reruns agree; repeated rows count each; an empty table gives no rows. With ``text_hash``,
+    a column of that name tells texts of one id, null ones too, apart.
     """
+    named = [F.xxhash64("text").alias("text_hash")] if text_hash else []
     spark = docs.sparkSession
-    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *named), "mix-sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -95,13 +97,14 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     cells = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("words")).join(per_source, "skey")
     quota = staged(cells.groupBy("skey").applyInPandas(quotas, "skey string, shard long, words long, quota long"), "mix-quotas")
-    order = Window.partitionBy("skey", "shard").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey", "shard").orderBy("h", "size", *["text_hash"] * text_hash).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     times = F.expr("CASE WHEN words > 0 THEN quota DIV words ELSE 0 END")
     more = F.expr("CASE WHEN words > 0 THEN quota % words ELSE 0 END")
     return placed.join(quota, ["skey", "shard"]).join(per_source, "skey").select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * times + F.least(F.greatest(more - F.col("start"), F.lit(0)), F.col("size"))).cast("long").alias("taken"),
+        *["text_hash"] * text_hash,
     )
 
 
@@ -113,10 +116,13 @@ def digest(docs: DataFrame) -> DataFrame:
 def sample_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with a column ``copies``: how often the mix repeats each document's words, rounded up; rows that it leaves out go.
 
-    The result is keyed by doc_id, so repeated rows of one doc_id share the first one's copies.
+    Rows of one doc_id, source and text, null ones too, share the first one's copies.
     """
-    mix = mix_sources(docs, seed).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("CAST(ceil(taken / size) AS INT)")).alias("__copies"))
-    return docs.drop("copies").join(mix.withColumnRenamed("__copies", "copies"), "doc_id")
+    key = {"__d": F.col("doc_id"), "__s": F.col("source"), "__t": F.col("text_hash")}
+    mix = mix_sources(docs, seed, text_hash=True).where("taken > 0").groupBy(*[c.alias(n) for n, c in key.items()]).agg(F.max(F.expr("CAST(ceil(taken / size) AS INT)")).alias("copies"))
+    rows = docs.drop("copies").withColumn("__h", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(mix["__d"]) & rows["source"].eqNullSafe(mix["__s"]) & (rows["__h"] == mix["__t"])
+    return rows.join(mix, same).drop(*key, "__h")
 
 
 def oracle(seed: int = SEED) -> str:

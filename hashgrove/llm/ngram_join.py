@@ -437,7 +437,7 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles, k (the set's name) and component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles, k (the set's name), h (the text's hash), c (the component's set) and component_id of every row of docs (doc_id, text).
 
     A component is named by its least doc_id, null if it has none; a null doc_id counts as the largest. Null and empty texts
     have no shingles, link with nothing and are their own component; equal sets are collapsed before pairing, so
@@ -447,7 +447,7 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,9 +455,9 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
             for s in text_sets(batch.column("text")):
                 n.append(len(s))
                 k.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "n", "k"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "h", "n", "k"])
 
-    members = staged(rows.mapInArrow(describe, "doc_id long, n long, k long"), "members").withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    members = staged(rows.mapInArrow(describe, "doc_id long, h long, n long, k long"), "members").withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     order = spark.sparkContext.broadcast(frequent_shingles(rows))
     probes = prefix_rows(rows, order, dealt).repartition("t", "z").sortWithinPartitions("t", "z", "k").mapInArrow(candidates_of(crowd), PROBES_DDL)
     probes = staged(probes, "probes")
@@ -467,20 +467,24 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, s = [], []
+            seen: set[int] = set()
             for found in text_sets(batch.column("text")):
-                k.append(set_key(found))
-                s.append(packed(found))
+                key = set_key(found)
+                if key not in seen:
+                    seen.add(key)
+                    k.append(key)
+                    s.append(packed(found))
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.binary())], names=["k", "s"])
 
-    texts = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), "text")
-    holders = staged(members.where("n > 0").groupBy("k").agg(F.min("o").alias("o")), "holders")
+    texts = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), "h", "text")
+    holders = staged(members.where("n > 0").groupBy("k").agg(F.min(F.struct("o", "h")).alias("doc")).select("k", "doc.o", "doc.h"), "holders")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only their own sets are read, each from its least document."""
         pairs = staged(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "pairs")
         ids = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct()
         ids = staged(holders.join(ids, "k", "left_semi"), "pair-sets")
-        own = may_hold(texts, F.col("o"), ids, F.col("o")).where("__may")
+        own = may_hold(texts, F.xxhash64("o", "h"), ids, F.xxhash64("o", "h")).where("__may")
         sets = staged(own.select("text").mapInArrow(extract, "k long, s binary"), "sets")
         return staged(verified(pairs, sets), "links")
 
@@ -490,10 +494,10 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
         cross = cross_cells(big, comp, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(cross_candidates, PROBES_DDL)
         comp = merged(comp, linked(matched(cross, False)))
     names = members.select("k", "o", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("o").alias("component_id"))
-    named = comp.join(names, "c").select(F.col("v").alias("k"), "component_id")
+    named = comp.join(names, "c").select(F.col("v").alias("k"), "c", "component_id")
     alone = members.where("n > 0").groupBy("k").agg(F.min("o").alias("own"))
-    table = alone.join(named, "k", "left").select("k", F.coalesce("component_id", "own").alias("component_id"))
-    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")), F.lit((1 << 63) - 1)).alias("component_id"))
+    table = alone.join(named, "k", "left").select("k", F.coalesce("c", "k").alias("c"), F.coalesce("component_id", "own").alias("component_id"))
+    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", "h", "c", F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")), F.lit((1 << 63) - 1)).alias("component_id"))
 
 
 def digest(docs: DataFrame, **limits: int) -> DataFrame:
@@ -502,11 +506,14 @@ def digest(docs: DataFrame, **limits: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group: those of the component's least doc_id, repeated rows once; all columns stay."""
+    """The rows of docs that stand for their group: those of the component's least doc_id, null the largest, and of its least
+    text hash, repeated rows once; all columns stay. A text without shingles is a group of its id and text."""
     last = F.lit((1 << 63) - 1)
-    keep = link_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("component_id", last).alias("__o")).distinct()
+    one = link_documents(docs).select("c", F.coalesce("doc_id", last).alias("__o"), F.col("h").alias("__h"), (F.col("n_shingles") > 0).alias("some"))
+    group = [F.when(F.col("some"), F.col("c")), F.when(~F.col("some"), F.col("__o")), F.when(~F.col("some"), F.col("__h"))]
+    keep = one.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct("__o", "__h")).alias("doc")).select("doc.__o", "doc.__h").distinct()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("__o"), F.xxhash64("text").alias("__h"), F.struct("*").alias("__row"))
-    return rows.join(keep, "__o", "left_semi").dropDuplicates(["__o", "__h"]).select("__row.*")
+    return rows.join(keep, ["__o", "__h"], "left_semi").dropDuplicates(["__o", "__h"]).select("__row.*")
 
 
 def oracle() -> str:

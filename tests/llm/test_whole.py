@@ -1,6 +1,6 @@
 import random
 
-from hashgrove.llm import ngram_join, secrets
+from hashgrove.llm import mixing, ngram_join, secrets
 
 PAIR = "doc_id long, text string"
 
@@ -25,3 +25,29 @@ def test_long_secrets_are_whole(spark):
     got = {(x.doc_id, x.start, x.end, x.secret) for x in secrets.scan(spark.createDataFrame(rows, PAIR)).collect()}
     assert got == {(d, t.index(keys[d // 2]), t.index(keys[d // 2]) + len(keys[d // 2]), keys[d // 2]) for d, t in rows}
     assert len({x.secret_sha256 for x in secrets.digest(spark.createDataFrame([(*x, None) for x in rows], PAIR + ", source string")).collect()}) == 3
+
+
+def test_stages_keep_rows_of_null_ids(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    base = " ".join(f"w{i}" for i in range(60))
+    near = [f"{base} end{i}" for i in range(4)]
+    rows = [(None, near[0], "s"), (None, near[1], "s"), (7, near[2], "s"), (None, near[3], None), (None, "one text that stands alone here", "s"), (None, "another text that stands alone here", "t"),
+            (None, "copies of it are without an id", "t"), (None, "copies of it are without an id", "t"), (None, "no source and no id has this text, which stands apart", None), (None, None, "s"), (None, "", "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, PAIR + ", source string").repartition(3)
+    want = [rows[i] for i in (2, 4, 5, 6, 8, 9, 10, 11)]
+    assert Counter(tuple(r) for r in ngram_join.one_of_each(docs).collect()) == Counter(want)
+    only = [(None, t, "s") for t in near]
+    assert [r.text in near for r in ngram_join.one_of_each(spark.createDataFrame(only, docs.schema)).collect()] == [True]
+
+    taken = mixing.mix_sources(docs, text_hash=True).where("taken > 0").collect()
+    copies = {}
+    for r in taken:
+        key = (r.doc_id, r.source, r.text_hash)
+        copies[key] = max(copies.get(key, 0), -(-r.taken // r["size"]))
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    expected = Counter((*tuple(r)[:3], copies[r.doc_id, r.source, r.h]) for r in hashed if (r.doc_id, r.source, r.h) in copies)
+    got = mixing.sample_mix(docs).select("doc_id", "text", "source", "copies").collect()
+    assert Counter(map(tuple, got)) == expected and sum(r.doc_id is None for r in got) > 3
