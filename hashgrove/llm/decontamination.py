@@ -19,7 +19,7 @@ from hashgrove.llm.words import Words, chunks, distinct, spans_hash
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it; n-gram share of question and of answer that confirms it.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.5, 0.5
-#: Words of an entry (longer items are indexed in pieces), items of one broadcast index, postings of a block.
+#: Words of an entry (longer items are retrieved by overlapping pieces of half as many, and confirmed whole), items of one broadcast index, postings of a block.
 ENTRY_WORDS, INDEX_ITEMS, POSTINGS = 96, 20_000, 16
 #: Total of the best scores of the commonest terms left out of the first bound; the bound is lowered by as much.
 SLACK = 0.08
@@ -55,6 +55,10 @@ class Entry:
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    #: Of a piece: its item as a whole. Of that: its terms in order and their impacts as shares of its score.
+    whole: Entry | None = None
+    terms: np.ndarray | None = None
+    impact: np.ndarray | None = None
 
 
 class Index:
@@ -64,25 +68,34 @@ class Index:
         self.entries: list[Entry] = []
         for item, text in items:
             h = word_hashes(text or "")
-            if 0 < len(h) <= ENTRY_WORDS:
-                q, a = split_item(text)
-                self.entries.append(Entry(item, h, word_hashes(q), word_hashes(a)))
-            for k in range(0, len(h) if len(h) > ENTRY_WORDS else 0, ENTRY_WORDS // 2):
-                piece = h[k : k + ENTRY_WORDS // 2]
-                if len(piece) >= 8:
-                    self.entries.append(Entry(item, piece, piece[: len(piece) // 2], piece[len(piece) // 2 :]))
+            if not len(h):
+                continue
+            whole = Entry(item, h, *map(word_hashes, split_item(text)))
+            if len(h) <= ENTRY_WORDS:
+                self.entries.append(whole)
+                continue
+            size = ENTRY_WORDS // 2
+            for k in [*range(0, len(h) - size, size // 2), len(h) - size]:
+                self.entries.append(Entry(item, h[k : k + size], whole.question, whole.answer, whole))
         n = total or len(self.entries)
         if df is None:
             df = Counter(int(t) for e in self.entries for t in np.unique(e.words))
         mean = np.mean([len(e.words) for e in self.entries]) if self.entries else 1.0
         self.stride = max([len(e.words) for e in self.entries], default=1)
         postings: dict[int, list[tuple[int, float]]] = {}
-        for i, e in enumerate(self.entries):
+
+        def shares(e: Entry) -> tuple[np.ndarray, np.ndarray]:
             terms, tf = np.unique(e.words, return_counts=True)
             idf = np.array([np.log(1 + (n - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(e.words) / mean))
-            for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist()):
+            return terms, impact / impact.sum()
+
+        for i, e in enumerate(self.entries):
+            terms, impact = shares(e)
+            for t, x in zip(terms.tolist(), impact.tolist()):
                 postings.setdefault(t, []).append((i, x))
+            if e.whole is not None and e.whole.terms is None:
+                e.whole.terms, e.whole.impact = shares(e.whole)
         self.terms = np.array(sorted(postings), dtype=np.uint64)
         lists = [postings[int(t)] for t in self.terms]
         self.ids = [[i for i, _ in p] for p in lists]
@@ -165,7 +178,8 @@ class Index:
 
         Passages are two strides of words, a stride apart; a stride is the longest entry, so every entry lies whole in
         one passage. WAND is asked of passages whose rarer words could lift some entry to the threshold even if every common
-        word matched; the others hold nothing.
+        word matched; the others hold nothing. Of an item longer than an entry, any piece that a passage retrieves has the
+        whole item scored and confirmed over the passages around: one to two lengths of it to either side.
         """
         out: list[list[tuple[int, float, float, float]]] = []
         for a, b in chunks(texts, 1 << 18):
@@ -193,6 +207,7 @@ class Index:
         bound = np.bincount(inverse, weights=self.rare_impact[met % postings])
         alive = cell[bound >= RETRIEVE - self.slack - 1e-9] if self.slack < RETRIEVE else np.arange(int(base[-1]) * width)
         passages, starts = np.unique(alive // width, return_index=True)
+        seen: set[tuple[int, int, int]] = set()
         for p, lo_, hi_ in zip(passages.tolist(), starts.tolist(), np.append(starts[1:], len(alive)).tolist()):
             i = int(np.searchsorted(base, p, side="right")) - 1
             lo = int(w.bound[i]) + (p - int(base[i])) * self.stride
@@ -200,6 +215,17 @@ class Index:
             terms = distinct(term[lo:hi])
             for entry, score in self.wand(terms[terms >= 0].tolist(), RETRIEVE, int(alive[lo_] % width), int(alive[hi_ - 1] % width) + 1):
                 e, words = self.entries[entry], w.hash[lo:hi]
+                if e.whole is not None:
+                    e, length = e.whole, len(e.whole.words)
+                    near = (lo - int(w.bound[i])) // length
+                    if (i, near, id(e)) in seen:
+                        continue
+                    seen.add((i, near, id(e)))
+                    first = int(w.bound[i]) + near * length
+                    words = w.hash[max(first - length, int(w.bound[i])) : min(first + 2 * length + 2 * self.stride, int(w.bound[i + 1]))]
+                    score = float(e.impact[np.isin(e.terms, words)].sum())
+                    if score < RETRIEVE - 1e-9:
+                        continue
                 shares = []
                 for part in (e.question, e.answer):
                     size_ = min(3, len(part))
@@ -254,7 +280,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question, answer) of every benchmark item that a text of docs holds.
 
     Every passage of every whole text is a query; all items above RETRIEVE are retrieved and kept if QUESTION and ANSWER
-    overlaps confirm them. Null and empty texts and items hold nothing; items of equal text are all reported; repeated
+    overlaps confirm them, of long items too over the whole item. Null and empty texts and items hold nothing; items of equal text are all reported; repeated
     rows are reported each; empty tables give no rows. An index of at most INDEX_ITEMS items is broadcast at a time.
     """
     out = None
