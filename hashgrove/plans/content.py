@@ -115,8 +115,8 @@ t AS (SELECT repo_id, 1 AS part, name, oid || ' ' || name || coalesce(' peeled:'
   UNION ALL SELECT h.repo_id, 0, 'HEAD', coalesce(oid, 'unborn') || ' HEAD symref-target:' || target || chr(10) FROM h LEFT JOIN fx_refs r ON r.repo_id = h.repo_id AND r.name = h.target)
 SELECT repo_id, part, name, {hex_line('text')} AS line FROM t UNION ALL SELECT repo_id, 2, '', lower(hex(encode('0000'))) FROM h""".replace("@DIV", "//"))
 def ref_listing(spark, d):
-    _, links, r = parts(spark, d)
-    return wire.ref_lines(graph.peel(r, links), small(spark, d, HEADS)).withColumn("line", F.lower(F.hex("line")))
+    o, links, r = parts(spark, d)
+    return wire.ref_lines(graph.peel(r, links, o), small(spark, d, HEADS)).withColumn("line", F.lower(F.hex("line")))
 
 
 @query(f"""WITH {SCREEN}, a AS (SELECT *, CASE WHEN reason IS NULL AND bool_or(reason IS NOT NULL) OVER (PARTITION BY repo_id, push_id) THEN 'atomic push failure' ELSE reason END AS why FROM x),

@@ -145,7 +145,7 @@ def object_dedup(spark, d):
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     raw = fixture(spark, d, "fx_blobs").select("doc_id", "size", F.col("text").cast("binary").alias("raw"))
-    return raw.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size + {CHUNK - 1}) DIV {CHUNK} AS INT)") - 1)).alias("idx"), "raw").select("doc_id", "size", "idx", F.substr("raw", F.col("idx") * CHUNK + 1, F.lit(CHUNK)).alias("bytes"))
+    return raw.where("size > 0").select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size + {CHUNK - 1}) DIV {CHUNK} AS INT)") - 1)).alias("idx"), "raw").select("doc_id", "size", "idx", F.substr("raw", F.col("idx") * CHUNK + 1, F.lit(CHUNK)).alias("bytes"))
 
 
 @query(f"SELECT doc_id, idx::INT AS idx, md5(array_slice(encode(text), (idx * {CHUNK} + 1)::BIGINT, ((idx + 1) * {CHUNK})::BIGINT)) AS digest FROM (SELECT *, unnest(range((size + {CHUNK - 1}) // {CHUNK})) AS idx FROM fx_blobs)")
@@ -244,7 +244,7 @@ def closure_complete(spark, d):
 @query(f"""WITH e AS (SELECT * FROM fx_links WHERE target_type = 'commit' AND source LIKE 'c:%'),
 w AS (SELECT repo_id, oid, 1 AS depth FROM ({TIPS}) UNION SELECT e.repo_id, target, depth + 1 FROM w JOIN e ON e.repo_id = w.repo_id AND e.source = w.oid WHERE depth < 3),
 m AS (SELECT repo_id, oid, min(depth)::INT AS depth FROM w GROUP BY ALL)
-SELECT *, depth = 3 AND (repo_id, oid) IN (SELECT (repo_id, source) FROM e) AS shallow FROM m""")
+SELECT *, depth = 3 AND (repo_id, oid) IN (SELECT (repo_id, source) FROM e) AS shallow, false AS unshallow FROM m""")
 def depth_plan(spark, d):
     _, links, r = parts(spark, d)
     return graph.depth_plan(links, heads(r, "9"), 3)
@@ -252,8 +252,8 @@ def depth_plan(spark, d):
 
 @query("SELECT r.repo_id, r.name, r.oid, l.target AS peeled FROM fx_refs r LEFT JOIN fx_links l ON l.repo_id = r.repo_id AND l.source = r.oid AND r.oid LIKE 'g:%'")
 def ref_peeled(spark, d):
-    _, links, r = parts(spark, d)
-    return graph.peel(r, links)
+    o, links, r = parts(spark, d)
+    return graph.peel(r, links, o)
 
 
 @query("WITH " + walk_sql("SELECT repo_id, oid FROM fx_refs") + " SELECT o.* FROM fx_objects o WHERE (repo_id, oid) NOT IN (SELECT (repo_id, oid) FROM w)")
