@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
+#: Kinds of entries that are deltas, the longest copy, the largest object, the largest whole number of the wire formats.
+OFS_DELTA, REF_DELTA, COPY, LARGEST, SAFE = 6, 7, 0xFFFFFF, 32 << 20, (1 << 53) - 1
+#: Bytes handed to a decompressor at once.
+PIECE = 1 << 16
 
 
 def varint(n: int) -> bytes:
@@ -29,6 +33,8 @@ def read_varint(raw: bytes, at: int) -> tuple[int, int]:
             raise ValueError("truncated length")
         b = raw[at]
         n, shift, at = n | (b & 127) << shift, shift + 7, at + 1
+        if n > SAFE:
+            raise ValueError("length too large")
         if b < 128:
             return n, at
 
@@ -47,7 +53,7 @@ def build_delta(base: bytes, target: bytes) -> bytes:
 def _copies(at: int, size: int) -> bytes:
     out = bytearray()
     while size:
-        n = min(size, 0xFFFF)
+        n = min(size, COPY)
         op, rest = 128, bytearray()
         for k in range(4):
             if byte := at >> 8 * k & 255:
@@ -68,6 +74,8 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     want, at = read_varint(delta, at)
     if size != len(base):
         raise ValueError("base size differs")
+    if want > LARGEST:
+        raise ValueError("target too large")
     out = bytearray()
     while at < len(delta):
         op, at = delta[at], at + 1
@@ -86,86 +94,136 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
         elif op:
             if at + op > len(delta):
                 raise ValueError("truncated insert")
-            out, at = out + delta[at : at + op], at + op
+            out += delta[at : at + op]
+            at += op
         else:
             raise ValueError("reserved opcode")
+        if len(out) > want:
+            raise ValueError("target size differs")
     if len(out) != want:
         raise ValueError("target size differs")
     return bytes(out)
 
 
 def tree_entries(raw: bytes) -> Iterator[tuple[str, str, str]]:
-    """(mode, name, oid) of each entry, in stored order."""
+    """(mode, name, oid) of each entry, in stored order; ValueError for one without a mode, cut short, or of another mode than 5 or 6 octal digits."""
     at = 0
     while at < len(raw):
-        blank = raw.index(b" ", at)
-        end = raw.index(b"\0", blank)
-        mode = raw[at:blank].decode()
-        if not 5 <= len(mode) <= 6 or set(mode) - set("01234567") or end + 21 > len(raw):
+        blank = raw.find(b" ", at)
+        end = raw.find(b"\0", blank + 1)
+        mode = raw[at:blank].decode("utf-8", "replace")
+        if blank < 0 or end < 0 or end + 21 > len(raw) or not 5 <= len(mode) <= 6 or set(mode) - set("01234567"):
             raise ValueError("malformed tree entry")
         yield mode, raw[blank + 1 : end].decode("utf-8", "replace"), raw[end + 1 : end + 21].hex()
         at = end + 21
 
 
-def parse_commit(raw: bytes) -> dict:
-    """tree, parents, author line and message of a commit; one trailing line feed of the message goes."""
-    head, _, message = raw.partition(b"\n\n")
-    lines = [x.partition(b" ") for x in head.split(b"\n") if not x.startswith(b" ")]
-    values = [(k.decode(), v.decode("utf-8", "replace")) for k, _, v in lines]
-    text = message.decode("utf-8", "replace")
-    return {"tree": next(v for k, v in values if k == "tree"), "parents": [v for k, v in values if k == "parent"], "author": next((v for k, v in values if k == "author"), None), "message": text[:-1] if text.endswith("\n") else text}
-
-
 def object_id(kind: str, raw: bytes) -> str:
     return hashlib.sha1(f"{kind} {len(raw)}\0".encode() + raw).hexdigest()
 
 
-def write_pack(objects: list[tuple[str, bytes]]) -> bytes:
-    """A pack of whole objects (type, bytes): header, deflated entries, SHA-1 trailer."""
-    number = {v: k for k, v in KINDS.items()}
-    out = bytearray(b"PACK" + (2).to_bytes(4, "big") + len(objects).to_bytes(4, "big"))
-    for kind, raw in objects:
-        n = len(raw)
-        first, n = number[kind] << 4 | n & 15, n >> 4
-        out += (bytes([first | 128]) + varint(n)) if n else bytes([first])
-        out += zlib.compress(raw)
-    return bytes(out) + hashlib.sha1(out).digest()
-
-
-def read_pack(raw: bytes) -> Iterator[tuple[int, str, str, bytes]]:
-    """(position, oid, type, bytes) of each entry of a pack of whole objects and of deltas on earlier entries."""
-    if raw[:4] != b"PACK" or int.from_bytes(raw[4:8], "big") not in (2, 3):
-        raise ValueError("not a pack")
-    if hashlib.sha1(raw[:-20]).digest() != raw[-20:]:
-        raise ValueError("checksum differs")
-    at, by_place, by_id = 12, {}, {}
-    for i in range(int.from_bytes(raw[8:12], "big")):
-        place, b = at, raw[at]
-        kind, size, shift, at = b >> 4 & 7, b & 15, 4, at + 1
+def entry_head(kind: int, size: int) -> bytes:
+    """Three bits of kind and a size, four bits in the first byte, seven in each further one."""
+    first, rest = kind << 4 | size & 15, size >> 4
+    return bytes([first | 128]) + varint(rest) if rest else bytes([first])
+
+
+def pack_entry(kind: str, raw: bytes, base: str | None = None) -> bytes:
+    """An entry of a pack: a whole object, or with ``base`` the delta ``raw`` on the object of that id."""
+    if base is not None:
+        return entry_head(REF_DELTA, len(raw)) + bytes.fromhex(base) + zlib.compress(raw)
+    return entry_head({v: k for k, v in KINDS.items()}[kind], len(raw)) + zlib.compress(raw)
+
+
+def pack_head(entries: int) -> bytes:
+    return b"PACK" + (2).to_bytes(4, "big") + entries.to_bytes(4, "big")
+
+
+class Fault(Exception):
+    """A fault of a pack; its text is one of the codes not-a-pack, unsupported-version, truncated, checksum-mismatch,
+    trailing-bytes, missing-base, object-too-large, corrupt."""
+
+
+def inflate(raw: memoryview, at: int, end: int, size: int) -> tuple[bytes, int]:
+    """The ``size`` bytes that a zlib stream at ``at`` holds, and where it ends. Input is fed in pieces, output is bounded."""
+    stream, out = zlib.decompressobj(), bytearray()
+    while not stream.eof:
+        if at >= end:
+            raise Fault("truncated")
+        piece = raw[at : min(at + PIECE, end)]
+        try:
+            out += stream.decompress(piece, size - len(out) + 1)
+        except zlib.error:
+            raise Fault("corrupt") from None
+        at += len(piece) - len(stream.unconsumed_tail) - len(stream.unused_data)
+        if len(out) > size:
+            raise Fault("corrupt")
+    if len(out) != size:
+        raise Fault("corrupt")
+    return bytes(out), at
+
+
+def read_entry(raw: memoryview, at: int, end: int) -> tuple[int, int | None, str | None, bytes, int]:
+    """(kind, base place, base id, body, end) of the entry at ``at``; places count from the start of the pack."""
+    place, base_place, base_id = at, None, None
+
+    def byte() -> int:
+        nonlocal at
+        if at >= end:
+            raise Fault("truncated")
+        at += 1
+        return raw[at - 1]
+
+    b = byte()
+    kind, size, shift = b >> 4 & 7, b & 15, 4
+    while b & 128:
+        b = byte()
+        size, shift = size | (b & 127) << shift, shift + 7
+        if size > SAFE:
+            raise Fault("corrupt")
+    if kind not in KINDS and kind not in (OFS_DELTA, REF_DELTA):
+        raise Fault("corrupt")
+    if size > LARGEST:
+        raise Fault("object-too-large")
+    if kind == OFS_DELTA:
+        b = byte()
+        back = b & 127
         while b & 128:
-            b, at = raw[at], at + 1
-            size, shift = size | (b & 127) << shift, shift + 7
-        base = None
-        if kind == 6:
-            b, at = raw[at], at + 1
-            back = b & 127
-            while b & 128:
-                b, at = raw[at], at + 1
-                back = (back + 1) << 7 | b & 127
-            base = by_place[place - back]
-        elif kind == 7:
-            base, at = by_id[raw[at : at + 20].hex()], at + 20
-        stream = zlib.decompressobj()
-        body = stream.decompress(raw[at:-20])
-        if not stream.eof or len(body) != size:
-            raise ValueError("entry size differs")
-        at = len(raw) - 20 - len(stream.unused_data)
-        name, whole = (base[0], apply_delta(base[1], body)) if base else (KINDS[kind], body)
-        oid = object_id(name, whole)
-        by_place[place] = by_id[oid] = (name, whole)
-        yield i, oid, name, whole
-    if at != len(raw) - 20:
-        raise ValueError("bytes after the last entry")
+            b = byte()
+            back = (back + 1) << 7 | b & 127
+            if back > SAFE:
+                raise Fault("corrupt")
+        base_place = place - back
+        if not 12 <= base_place < place:
+            raise Fault("missing-base")
+    elif kind == REF_DELTA:
+        if at + 20 > end:
+            raise Fault("truncated")
+        base_id, at = bytes(raw[at : at + 20]).hex(), at + 20
+    body, at = inflate(raw, at, end, size)
+    return kind, base_place, base_id, body, at
+
+
+def read_entries(data: bytes) -> Iterator[tuple[int, int, int, int | None, str | None, bytes]]:
+    """(pos, place, kind, base place, base id, body) of each entry; deltas are not resolved, and only one entry is held."""
+    raw, end = memoryview(data), len(data) - 20
+    if data[:4] != b"PACK":
+        raise Fault("not-a-pack" if len(data) >= 4 else "truncated")
+    if len(data) < 8:
+        raise Fault("truncated")
+    if int.from_bytes(data[4:8], "big") not in (2, 3):
+        raise Fault("unsupported-version")
+    if end < 12:
+        raise Fault("truncated")
+    at = 12
+    for pos in range(int.from_bytes(data[8:12], "big")):
+        place = at
+        kind, base_place, base_id, body, at = read_entry(raw, at, end)
+        yield pos, place, kind, base_place, base_id, body
+    if at != end:
+        raise Fault("trailing-bytes")
+    if hashlib.sha1(raw[:end]).digest() != raw[end:]:
+        raise Fault("checksum-mismatch")
 
 
 def pkt_line(payload: Column) -> Column:
@@ -174,14 +232,33 @@ def pkt_line(payload: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(F.octet_length(raw) + 4)), 4, "0").cast("binary"), raw)
 
 
-def unpack(packs: DataFrame, column: str = "content") -> DataFrame:
-    """(path, pos, oid, type, bytes) of packs read as binary files."""
+ENTRIES = "path string, pos int, place long, kind int, base_place long, base_id string, body binary, fault string"
+
+
+def pack_entries(packs: DataFrame, column: str = "content") -> DataFrame:
+    """(path, pos, place, kind, base_place, base_id, body, fault) of the entries of packs read as binary files.
+
+    A pack that is at fault ends with a row of pos -1 that names the fault; its rows before that are not to be kept. A task
+    holds one pack's file and one entry of it. A null pack is truncated.
+    """
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, raw in zip(pdf.path, pdf[column]):
-                yield pd.DataFrame([(path, *x) for x in read_pack(bytes(raw))], columns=["path", "pos", "oid", "type", "bytes"])
+                held, size = [], 0
+                try:
+                    for row in read_entries(bytes(raw or b"")):
+                        held.append((path, *row, None))
+                        size += len(row[-1])
+                        if size > 1 << 22:
+                            yield pd.DataFrame(held, columns=names)
+                            held, size = [], 0
+                except Fault as fault:
+                    held.append((path, -1, None, None, None, None, None, str(fault)))
+                yield pd.DataFrame(held, columns=names).astype({"place": "Int64", "base_place": "Int64", "kind": "Int32"})
 
-    return packs.select("path", column).mapInPandas(run, "path string, pos int, oid string, type string, bytes binary")
+    return packs.select("path", column).mapInPandas(run, ENTRIES)
 
 
 @F.pandas_udf(BinaryType())
@@ -192,3 +269,20 @@ def delta_of(base: pd.Series, target: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def patched(base: pd.Series, delta: pd.Series) -> pd.Series:
     return pd.Series([apply_delta(bytes(a), bytes(b)) for a, b in zip(base, delta)])
+
+
+@F.pandas_udf(BinaryType())
+def patched_or_null(base: pd.Series, delta: pd.Series) -> pd.Series:
+    """The target of a delta, null where the delta does not fit its base or makes too large an object."""
+    def one(a: bytes, b: bytes) -> bytes | None:
+        try:
+            return apply_delta(bytes(a), bytes(b))
+        except ValueError:
+            return None
+
+    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(base, delta)], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def deflated(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: zlib.compress(bytes(x)), na_action="ignore")

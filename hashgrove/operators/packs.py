@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashgrove.functions import codec
 from hashgrove.functions.codec import build_delta
-from hashgrove.functions.names import size_bucket
-from hashgrove.plans.staging import cut
+from hashgrove.functions.names import object_id, size_bucket
+from hashgrove.plans.staging import counted_cut, cut
 
 #: Bounds of one read window; a delta with its 20-byte base id must stay below this share of the whole entry.
 WINDOW_BYTES, WINDOW_KEYS, SHARE, ID_BYTES = 8 << 20, 96, 0.875, 20
@@ -105,6 +109,92 @@ def select_deltas(objects: DataFrame, memory: int = 96 << 20) -> DataFrame:
 
 
 def needed_memory(base: int, target: int) -> int:
-    """Bytes held while a delta is built: both texts, the delta at its worst, and its deflated form."""
-    delta = target + target // 127 + 64
-    return base + target + 2 * delta
+    """Bytes held while a delta is chosen: both texts, the delta at its worst, and its deflated form at its worst."""
+    delta = target + -(-target // 127) + 32
+    return base + target + delta + delta + -(-delta // 4_096) + -(-delta // 16_384) + -(-delta // 33_554_432) + 13
+
+
+def unpacked(packs: DataFrame, stored: DataFrame | None = None, column: str = "content") -> DataFrame:
+    """(path, pos, oid, type, bytes, fault) of the objects of packs (path, content); one row a pack at fault, with its fault alone.
+
+    Whole entries are objects at once; deltas wait for their base: an earlier entry, by place or id, or one of stored
+    (oid, type, bytes), for thin packs. Each round resolves all deltas whose bases are known, with one join, so a
+    pack's objects are spread over tasks. A delta whose base is nowhere is ``missing-base``, one that does not fit it
+    ``corrupt``. Repeated paths are told apart by nothing: give each pack one.
+    """
+    entries = cut(codec.pack_entries(packs, column))
+    bad = entries.where("fault IS NOT NULL").select("path", "fault")
+    number = F.create_map(*[F.lit(x) for pair in codec.KINDS.items() for x in pair])
+    good = entries.where("fault IS NULL").join(bad.select("path"), "path", "left_anti")
+    named = lambda df: df.select("path", "pos", "place", object_id(F.col("type"), F.col("bytes")).alias("oid"), "type", "bytes")
+    done = cut(named(good.where(f"kind < {codec.OFS_DELTA}").select("path", "pos", "place", number[F.col("kind")].alias("type"), F.col("body").alias("bytes"))))
+    open_, left = counted_cut(good.where(f"kind >= {codec.OFS_DELTA}").select("path", "pos", "place", "base_place", "base_id", "body"))
+    frontier, parts = done, [done]
+    outside = None if stored is None else stored.select(F.col("oid").alias("base_id"), F.col("type").alias("base_type"), F.col("bytes").alias("base"))
+    wrong = entries.select("path", F.lit("corrupt").alias("fault")).limit(0)
+    first = True
+    while left:
+        by_place = frontier.select("path", F.col("place").alias("base_place"), F.col("type").alias("t1"), F.col("bytes").alias("b1"))
+        by_id = frontier.groupBy("path", F.col("oid").alias("base_id")).agg(F.first(F.struct("type", "bytes")).alias("s")).select("path", "base_id", F.col("s.type").alias("t2"), F.col("s.bytes").alias("b2"))
+        step = open_.join(by_place, ["path", "base_place"], "left").join(by_id, ["path", "base_id"], "left")
+        base, kind = F.coalesce("b1", "b2"), F.coalesce("t1", "t2")
+        if first and outside is not None:
+            step = step.join(outside, "base_id", "left")
+            base, kind = F.coalesce(base, F.col("base")), F.coalesce(kind, F.col("base_type"))
+        step = step.withColumns({"type": kind, "bytes": F.when(kind.isNotNull(), codec.patched_or_null(base, F.col("body")))})
+        step, more = counted_cut(step.select("path", "pos", "place", "base_place", "base_id", "body", "type", "bytes"), "type IS NULL")
+        frontier = cut(named(step.where("bytes IS NOT NULL")))
+        parts.append(frontier)
+        wrong = wrong.unionByName(step.where("type IS NOT NULL AND bytes IS NULL").select("path", F.lit("corrupt").alias("fault")))
+        open_, first = step.where("type IS NULL").drop("type", "bytes"), False
+        if more == left:
+            break
+        left = more
+    if left:
+        wrong = wrong.unionByName(open_.select("path", F.lit("missing-base").alias("fault")))
+    faults = bad.unionByName(wrong).groupBy("path").agg(F.min("fault").alias("fault"))
+    objects = reduce(DataFrame.unionByName, parts).join(faults.select("path"), "path", "left_anti")
+    none = F.lit(None).cast("string")
+    return objects.select("path", "pos", "oid", "type", "bytes", none.alias("fault")).unionByName(faults.select("path", F.lit(-1).alias("pos"), none.alias("oid"), none.alias("type"), none.cast("binary").alias("bytes"), "fault"))
+
+
+#: Bytes of payload in one line of the side band, and its bands.
+BAND_BYTES, DATA, PROGRESS = 65_515, 1, 2
+
+
+def pack_stream(entries: DataFrame, band: bool = False) -> DataFrame:
+    """(repo_id, part, frame) of one pack a repository from entries (repo_id, place, type, bytes, base): what is to be sent, in order of part.
+
+    ``bytes`` is an object, or with ``base`` the delta on the object of that id. Entries are encoded where they stand; the
+    order, the count and the running SHA-1 of a pack are sequential, so a repository's encoded entries stream through
+    one task, which holds one frame. With ``band`` frames are lines of the data band, ended by a flush. A
+    repository without entries sends nothing.
+    """
+    @F.pandas_udf("binary")
+    def encoded(kind: pd.Series, raw: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([codec.pack_entry(k, bytes(r), b) for k, r, b in zip(kind, raw, base)])
+
+    counts = entries.groupBy("repo_id").agg(F.count("*").alias("n"))
+    rows = entries.select("repo_id", "place", encoded("type", "bytes", "base").alias("entry")).join(counts, "repo_id")
+
+    def lines(data: bytes) -> bytes:
+        return f"{len(data) + 5:04x}".encode() + bytes([DATA]) + data if band else data
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = chain.from_iterable(zip(b.repo_id, b.n, b.entry) for b in batches)
+        for repo, own in groupby(stream, key=lambda r: r[0]):
+            digest, held, part, head = hashlib.sha1(), bytearray(), 0, True
+            for _, n, entry in own:
+                data = (codec.pack_head(n) if head else b"") + bytes(entry)
+                head = False
+                digest.update(data)
+                held += data
+                while len(held) >= BAND_BYTES:
+                    yield pd.DataFrame([(repo, part, lines(bytes(held[:BAND_BYTES])))], columns=["repo_id", "part", "frame"])
+                    del held[:BAND_BYTES]
+                    part += 1
+            held += digest.digest()
+            last = [(repo, part + k // BAND_BYTES, lines(bytes(held[k : k + BAND_BYTES]))) for k in range(0, len(held), BAND_BYTES)]
+            yield pd.DataFrame([*last, *([(repo, last[-1][1] + 1, b"0000")] if band else [])], columns=["repo_id", "part", "frame"])
+
+    return rows.repartition("repo_id").sortWithinPartitions("repo_id", "place").mapInPandas(run, "repo_id long, part long, frame binary")

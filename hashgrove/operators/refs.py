@@ -11,28 +11,41 @@ from pyspark.sql import functions as F
 from hashgrove.functions.names import branch_violation
 
 ZERO = "0" * 40
+#: Why a ref did not move, as clients print it.
+FUNNY, DUPLICATE, EXISTS = "funny refname", "the same ref appears twice in this push", "the ref already exists"
+VANISHED, STALE, MISSING = "the ref no longer exists", "the ref has moved since it was advertised", "missing necessary objects"
+ATOMIC, UNPACKER = "atomic push failure", "n/a (unpacker error)"
 STATE = ("repo_id long, name string, pos long, reason string, held string")
 
 
-def screen(commands: DataFrame, refs: DataFrame) -> DataFrame:
+def screen(commands: DataFrame, refs: DataFrame, incomplete: DataFrame | None = None, unpack_failed: DataFrame | None = None) -> DataFrame:
     """commands (repo_id, push_id, pos, name, old_oid, new_oid) with ``reason``, null if accepted, against one snapshot of refs.
 
     Of commands of a push for one name only the first is judged; old values must match; a fast-forward is not asked for.
+    A command that would point a ref at one of incomplete (repo_id, oid), whose closure lacks objects, is rejected; so is every
+    command of a push of unpack_failed (repo_id, push_id), whatever else it asks.
     """
     bad = ~F.col("name").startswith("refs/") | branch_violation(F.col("name")).isNotNull()
     nth = F.row_number().over(Window.partitionBy("repo_id", "push_id", "name").orderBy("pos"))
     rows = commands.withColumn("__nth", nth).join(refs.select("repo_id", "name", F.col("oid").alias("__held")), ["repo_id", "name"], "left")
     held, old, new = F.col("__held"), F.col("old_oid"), F.col("new_oid")
-    reason = (F.when(bad, "funny refname").when(F.col("__nth") > 1, "duplicate")
-              .when((old == ZERO) & (new != ZERO), F.when(held.isNotNull(), "exists"))
-              .when(held.isNull(), "vanished").when(held != old, "stale"))
-    return rows.withColumn("reason", reason).drop("__nth", "__held")
+    reason = (F.when(bad, FUNNY).when(F.col("__nth") > 1, DUPLICATE)
+              .when((old == ZERO) & (new != ZERO), F.when(held.isNotNull(), EXISTS))
+              .when(held.isNull(), VANISHED).when(held != old, STALE))
+    rows = rows.withColumn("reason", reason)
+    if incomplete is not None:
+        rows = rows.join(incomplete.select("repo_id", F.col("oid").alias("new_oid")).distinct().withColumn("__lacks", F.lit(True)), ["repo_id", "new_oid"], "left")
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("__lacks"), MISSING))).drop("__lacks")
+    if unpack_failed is not None:
+        rows = rows.join(unpack_failed.select("repo_id", "push_id").distinct().withColumn("__failed", F.lit(True)), ["repo_id", "push_id"], "left")
+        rows = rows.withColumn("reason", F.when(F.col("__failed"), UNPACKER).otherwise(F.col("reason"))).drop("__failed")
+    return rows.select(*commands.columns, "reason")
 
 
 def atomic(screened: DataFrame) -> DataFrame:
     """One rejection rejects its whole push: accepted commands of it fail with it."""
     any_bad = F.max(F.col("reason").isNotNull()).over(Window.partitionBy("repo_id", "push_id"))
-    return screened.withColumn("reason", F.when(F.col("reason").isNull() & any_bad, "atomic push failure").otherwise(F.col("reason")))
+    return screened.withColumn("reason", F.when(F.col("reason").isNull() & any_bad, ATOMIC).otherwise(F.col("reason")))
 
 
 def replay(commands: DataFrame) -> DataFrame:
@@ -60,8 +73,8 @@ def replay(commands: DataFrame) -> DataFrame:
 
 def next_reason(held: str | None, old: str, new: str) -> str | None:
     if old == ZERO and new != ZERO:
-        return None if held is None else "exists"
-    return "vanished" if held is None else None if held == old else "stale"
+        return None if held is None else EXISTS
+    return VANISHED if held is None else None if held == old else STALE
 
 
 def refs_after(replayed: DataFrame) -> DataFrame:

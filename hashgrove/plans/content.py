@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hashgrove.functions import codec, wire
 from hashgrove.functions.names import object_id
 from hashgrove.operators import graph, history, packs, refs
+from hashgrove.plans import bytes as _bytes  # noqa: F401  # registers its queries
 from hashgrove.plans.registry import ORACLES, QUERIES, SCREEN, TIPS, heads, one_push, parts, query, walk_sql
 from hashgrove.sources.fixtures import NOW, fixture
 

@@ -272,7 +272,7 @@ def fork_default_branch(spark, d):
     return graph.fork(o, links, heads(r, "9"), 1000).select("repo_id", "oid", "type", "size")
 
 
-@query("SELECT repo_id, name, pos, CASE WHEN NOT bogus THEN NULL WHEN prev IS NULL THEN 'vanished' ELSE 'stale' END AS reason FROM fx_commands")
+@query("SELECT repo_id, name, pos, CASE WHEN NOT bogus THEN NULL WHEN prev IS NULL THEN 'the ref no longer exists' ELSE 'the ref has moved since it was advertised' END AS reason FROM fx_commands")
 def push_replay(spark, d):
     return refs.replay(fixture(spark, d, "fx_commands")).select("repo_id", "name", "pos", "reason")
 
@@ -290,8 +290,8 @@ def one_push(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCREEN = f"""s AS (SELECT repo_id, name, max_by(new_oid, pos) AS oid FROM fx_commands WHERE pos % 7 < 4 AND NOT bogus GROUP BY ALL),
-x AS (SELECT c.repo_id, c.name, c.pos, pos // 40 AS push_id, CASE WHEN row_number() OVER (PARTITION BY c.repo_id, pos // 40, c.name ORDER BY pos) > 1 THEN 'duplicate'
-  WHEN old_oid = '{ZERO}' THEN CASE WHEN oid IS NOT NULL THEN 'exists' END WHEN oid IS NULL THEN 'vanished' WHEN oid <> old_oid THEN 'stale' END AS reason FROM fx_commands c LEFT JOIN s ON s.repo_id = c.repo_id AND s.name = c.name)"""
+x AS (SELECT c.repo_id, c.name, c.pos, pos // 40 AS push_id, CASE WHEN row_number() OVER (PARTITION BY c.repo_id, pos // 40, c.name ORDER BY pos) > 1 THEN 'the same ref appears twice in this push'
+  WHEN old_oid = '{ZERO}' THEN CASE WHEN oid IS NOT NULL THEN 'the ref already exists' END WHEN oid IS NULL THEN 'the ref no longer exists' WHEN oid <> old_oid THEN 'the ref has moved since it was advertised' END AS reason FROM fx_commands c LEFT JOIN s ON s.repo_id = c.repo_id AND s.name = c.name)"""
 
 
 @query(f"WITH {SCREEN} SELECT repo_id, name, pos, reason FROM x")
@@ -304,12 +304,12 @@ def push_atomic(spark, d):
     return refs.atomic(one_push(spark, d)).select("repo_id", "name", "pos", "reason")
 
 
-@query("SELECT a.conv_id, a.turn, true AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+@query("SELECT a.conv_id, a.turn, md5(a.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
 def delta_roundtrip(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").cast("binary").alias("target"))
     base = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("target").alias("base"))
     pairs = c.join(base, ["conv_id", "turn"]).withColumn("delta", codec.delta_of("base", "target"))
-    return pairs.select("conv_id", "turn", (codec.patched("base", "delta") == F.col("target")).alias("same"))
+    return pairs.select("conv_id", "turn", F.md5(codec.patched("base", "delta")).alias("digest"))
 
 
 @query("SELECT conv_id, turn, encode(printf('%04x', 4 + octet_length(encode(role))) || role) AS line FROM conversations".replace("encode(printf('%04x', 4 + octet_length(encode(role))) || role)", "lower(hex(encode(printf('%04x', 4 + octet_length(encode(role))) || role)))"))
