@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,100 @@ def push_commands(rows: DataFrame) -> DataFrame:
     return lines.select("id", "pos", part(1).alias("old_oid"), part(2).alias("new_oid"), part(3).alias("name"), F.filter(F.split(rest, " "), lambda c: c != "").alias("capabilities"), fault.alias("fault"))
 
 
+def push_options(rows: DataFrame) -> DataFrame:
+    """(id, pos, option) of the lines between the first and the second flush of pushes whose first command asks for push-options."""
+    first = push_commands(rows).groupBy("id").agg(F.min_by("capabilities", "pos").alias("capabilities"))
+    asked = first.where("array_contains(capabilities, 'push-options')").select("id")
+    return sections(rows).where("section = 1 AND kind = 'line'").join(asked, "id", "left_semi").select("id", "pos", F.regexp_replace(F.col("payload").cast("string"), "\n$", "").alias("option"))
+
+
+def commands_v2(rows: DataFrame) -> DataFrame:
+    """(id, command, arguments, fault) of requests of version 2: capability lines, a delimiter, arguments, a flush.
+
+    Faults: no-delimiter, capability (one that is not served), no-command, ended-early, and argument for one that the command,
+    ls-refs or fetch, does not know.
+    """
+    text = F.regexp_replace(F.col("payload").cast("string"), "\n$", "")
+    by = Window.partitionBy("id").orderBy("pos")
+    marked = rows.select("id", "pos", "kind", text.alias("text")).withColumn("mark", F.min(F.when(F.col("kind") != "line", F.col("pos"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    own = marked.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("mark").isNull() | (F.col("pos") < F.col("mark")), F.struct("pos", "text")))).alias("head"), F.min(F.when(F.col("pos") == F.col("mark"), F.col("kind"))).alias("ends"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("mark"), F.struct("pos", "kind", "text")))).alias("tail"))
+    command = lambda x: F.startswith(x["text"], F.lit("command="))
+    name = F.get(F.filter("head", command), F.lit(0))["text"]
+    odd = F.exists("head", lambda x: ~command(x) & ~F.startswith(x["text"], F.lit("agent=")) & (x["text"] != "object-format=sha1")) | (F.size(F.filter("head", command)) > 1)
+    stop = F.array_position(F.transform("tail", lambda x: x["kind"]), "flush")
+    lines = F.slice("tail", 1, F.greatest(stop.cast("int") - 1, F.lit(0)))
+    arguments, called = F.transform(lines, lambda x: x["text"]), F.substr(name, F.lit(9))
+    known = {"ls-refs": "^(peel|symrefs|unborn|ref-prefix .*)$", "fetch": "^((want|have|shallow) .*|deepen [1-9][0-9]*|done|thin-pack|ofs-delta|no-progress|include-tag)$"}
+    odd_one = lambda form: F.exists(arguments, lambda x: ~x.rlike(form))
+    strange = reduce(lambda a, b: a | b, ((called == k) & odd_one(form) for k, form in known.items()))
+    twice = (called == "fetch") & (F.size(F.filter(arguments, lambda x: F.startswith(x, F.lit("deepen ")))) > 1)
+    fault = (F.when(F.coalesce(F.col("ends"), F.lit("")) != "delimiter", "no-delimiter").when(odd, "capability").when(F.coalesce(called, F.lit("")) == "", "no-command")
+             .when((stop == 0) | F.exists(lines, lambda x: x["kind"] != "line"), "ended-early").when(strange | twice, "argument"))
+    return own.select("id", called.alias("command"), arguments.alias("arguments"), fault.alias("fault"))
+
+
+def fetch_as_v1(commands: DataFrame) -> DataFrame:
+    """(id, body) of the fetches among commands_v2 rows as requests of the first version: wants with capabilities, shallows, depth, flush, haves, done or flush."""
+    args = F.col("arguments")
+    of = lambda verb: F.filter(args, lambda x: F.startswith(x, F.lit(verb + " ")))
+    line = lambda t: pkt_line(F.concat(t, F.lit("\n")))
+    asked = lambda c: F.when(F.array_contains(args, c), F.lit(" " + c)).otherwise("")
+    extra = F.concat(F.lit(" multi_ack_detailed side-band-64k"), asked("thin-pack"), asked("ofs-delta"))
+    wants = F.transform(of("want"), lambda x, i: line(F.concat(x, F.when(i == 0, extra).otherwise(""))))
+    rest = [F.transform(of(v), line) for v in ("shallow", "deepen")]
+    flush = F.array(F.lit(FLUSH).cast("binary"))
+    ends = F.when(F.array_contains(args, "done"), F.array(line(F.lit("done")))).otherwise(flush)
+    parts = F.concat(wants, *rest, flush, F.transform(of("have"), line), ends)
+    return commands.where("command = 'fetch' AND fault IS NULL").select("id", F.aggregate(parts, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)).alias("body"))
+
+
+#: What each service says it can do, and the name that stands for no refs.
+RECEIVES = "report-status report-status-v2 delete-refs side-band-64k atomic ofs-delta push-options object-format=sha1"
+UPLOADS = "multi_ack_detailed thin-pack side-band-64k ofs-delta"
+UPLOADS_2 = ("ls-refs=unborn", "fetch", "object-format=sha1")
+NO_REFS, ZERO_ID = "capabilities^{}", "0" * 40
+
+
+def advertisement(refs: DataFrame, heads: DataFrame, agent: str, service: str = "upload-pack", version: int = 0, shallow: DataFrame | None = None) -> DataFrame:
+    """(repo_id, part, name, line) of what a service first says; lines concatenated by part and name are the body.
+
+    refs are (repo_id, name, oid, peeled), heads (repo_id, kind, target): one row a repository. receive-pack names refs alone;
+    upload-pack names HEAD first, if it resolves, a peeled tag after its tag, and boundaries. The first ref line carries the
+    capabilities; without refs it names none. Version 2 names commands only.
+    """
+    of = heads.select("repo_id")
+    say = lambda df, part, text, name=F.lit(""): df.select("repo_id", F.lit(part).alias("part"), name.alias("name"), pkt_line(F.concat(text, F.lit("\n"))).alias("line"))
+    flush = lambda part: of.select("repo_id", F.lit(part).alias("part"), F.lit("").alias("name"), F.lit(FLUSH).cast("binary").alias("line"))
+    if service == "upload-pack" and version == 2:
+        out = say(of, 0, F.lit("version 2"))
+        for k, capability in enumerate((f"agent={agent}", *UPLOADS_2)):
+            out = out.unionByName(say(of, k + 1, F.lit(capability)))
+        return out.unionByName(flush(9))
+    out = say(of, 0, F.lit(f"# service=git-{service}")).unionByName(flush(1))
+    rows = refs.select("repo_id", "name", "oid")
+    capabilities = of.select("repo_id", F.lit(f"{RECEIVES} agent={agent}").alias("capabilities"))
+    if service == "upload-pack":
+        if version == 1:
+            out = out.unionByName(say(of, 2, F.lit("version 1")))
+        rows = rows.unionByName(refs.where("peeled IS NOT NULL AND startswith(name, 'refs/tags/')").select("repo_id", F.concat("name", F.lit("^{}")).alias("name"), F.col("peeled").alias("oid")))
+        named = heads.join(refs.select("repo_id", F.col("name").alias("target"), "oid"), ["repo_id", "target"], "left")
+        at = F.when(F.col("kind") == "detached", F.col("target")).otherwise(F.col("oid"))
+        rows = named.select("repo_id", F.lit("HEAD").alias("name"), at.alias("oid")).where("oid IS NOT NULL").unionByName(rows)
+        grafts = of.limit(0).select("repo_id", F.lit("").alias("oid")) if shallow is None else shallow.select("repo_id", "oid").distinct()
+        has = grafts.select("repo_id").distinct().withColumn("some", F.lit(" shallow"))
+        symref = F.when(F.col("kind") == "symbolic", F.concat(F.lit(" symref=HEAD:"), "target")).otherwise("")
+        capabilities = heads.join(has, "repo_id", "left").select("repo_id", F.concat(F.lit(UPLOADS), F.coalesce("some", F.lit("")), F.lit(f" object-format=sha1 agent={agent}"), symref).alias("capabilities"))
+        out = out.unionByName(say(grafts, 4, F.concat(F.lit("shallow "), "oid"), F.col("oid")))
+    first = rows.groupBy("repo_id").agg(F.min(F.struct(F.col("name") != "HEAD", "name")).alias("first")).select("repo_id", F.col("first.name").alias("first"))
+    rows = rows.join(first, "repo_id").join(capabilities, "repo_id")
+    text = F.concat("oid", F.lit(" "), "name", F.when(F.col("name") == F.col("first"), F.concat(F.lit("\0"), "capabilities")).otherwise(""))
+    order = F.when(F.col("name") == "HEAD", "").otherwise(F.regexp_replace("name", r"\^\{\}$", "\0"))
+    none = capabilities.join(first, "repo_id", "left_anti")
+    return out.unionByName(say(rows, 3, text, order)).unionByName(say(none, 3, F.concat(F.lit(f"{ZERO_ID} {NO_REFS}\0"), "capabilities"))).unionByName(flush(5))
+
+
 def fetch_lines(rows: DataFrame) -> DataFrame:
     """(id, pos, verb, value, capabilities, fault) of fetch requests: want, shallow and deepen before the first flush, have and done after it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,16 +10,23 @@ def keyset_page(df: DataFrame, sort: str, tie: str, limit: int, descending: bool
     """One page and ``has_next``: a null sort key counts as '', ties follow ``tie`` in the same direction.
 
     ``after`` is the last (sort, tie) seen; the predicate is an OR of comparisons, which the scan can prune by. One row
-    more than ``limit`` is read to learn of a further page, so the plan is a bounded top-k, not a full sort.
+    more than ``limit`` is read to learn of a further page, so the plan is a bounded top-k, not a full sort; the window numbers those rows only.
     """
     key = F.coalesce(F.col(sort), F.lit(""))
     if after:
         k, t = after
         df = df.where((key < k) | ((key == k) & (F.col(tie) < t)) if descending else (key > k) | ((key == k) & (F.col(tie) > t)))
     order = [key.desc(), F.col(tie).desc()] if descending else [key.asc(), F.col(tie).asc()]
-    look = df.orderBy(*order).limit(limit + 1)
-    more = look.agg((F.count("*") > limit).alias("has_next"))
-    return look.orderBy(*order).limit(limit).crossJoin(F.broadcast(more))
+    whole = Window.partitionBy(F.lit(1))
+    look = df.orderBy(*order).limit(limit + 1).withColumns({"__nth": F.row_number().over(whole.orderBy(*order)), "has_next": F.count("*").over(whole) > limit})
+    return look.where(F.col("__nth") <= limit).drop("__nth")
+
+
+def point_lookup(requests: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """request and the row of each of requests (request, key), which are many prepared lookups in one join; nulls where there is none."""
+    found = rows.select(*(F.col(c).alias(f"__{c}") for c in key), *rows.columns)
+    asked = requests.select("request", *(F.col(c).alias(f"__{c}") for c in key))
+    return asked.join(found, [f"__{c}" for c in key], "left").select("request", *rows.columns)
 
 
 def offset_page(df: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashgrove.functions import codec, wire
-from hashgrove.functions.names import object_id
 from hashgrove.operators import graph, history, packs, refs
-from hashgrove.plans import bytes as _bytes  # noqa: F401  # registers its queries
-from hashgrove.plans.registry import ORACLES, QUERIES, SCREEN, TIPS, heads, one_push, parts, query, walk_sql
+from hashgrove.plans import bytes as _bytes, lifecycle as _lifecycle  # noqa: F401  # register their queries
+from hashgrove.plans.registry import ORACLES, QUERIES, SCREEN, TIPS, hex_line, one_push, parts, query, tips, walk_sql
 from hashgrove.sources.fixtures import NOW, fixture
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,7 +35,7 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT repo_id, oid, row_number() OVER (PARTITION BY repo_id ORDER BY split_part(oid, ':', 2)::INT DESC, split_part(oid, ':', 3)::INT DESC) - 3 AS seq FROM w)
 SELECT repo_id, seq::INT AS seq, oid, NULL::VARCHAR AS fault FROM n WHERE seq BETWEEN 0 AND 9""")
 def history_walk(spark, d):
-    return history.history(commits(spark, d), heads(parts(spark, d)[2], "9"), limit=10, offset=2)
+    return history.history(commits(spark, d), tips(parts(spark, d)[2]), limit=10, offset=2)
 
 
 def chains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +65,17 @@ def read_windows(spark, d):
     return packs.read_windows(packs.pack_order(o, deltas), stored, max_bytes=WINDOW)
 
 
-@query()
+SAME = "SELECT conv_id, turn, right('000' || turn, 3) || ':' || conv_id AS oid, repeat('line of text ' || conv_id || ' ', 80) || turn AS text FROM conversations"
+
+
+@query(f"""WITH o AS (SELECT *, 'blob:' || (length(bin(octet_length(encode(text)))) - 1) AS bucket FROM ({SAME}))
+SELECT conv_id AS repo_id, oid, first(oid) OVER w AS base, md5(text) AS digest FROM o WINDOW w AS (PARTITION BY conv_id, bucket ORDER BY oid) QUALIFY row_number() OVER w > 1""")
 def repack_select(spark, d):
-    blobs = fixture(spark, d, "fx_blobs").select((F.col("doc_id") % 10).alias("repo_id"), object_id(F.lit("blob"), F.col("text")).alias("oid"), F.lit("blob").alias("type"), F.col("text").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("base"))
-    blobs = blobs.dropDuplicates(["repo_id", "oid"])
-    chosen = packs.select_deltas(blobs)
+    """Texts of a conversation differ in their last figures, so all but the first of a size bucket become deltas on it."""
+    rows = spark.sql(SAME.replace("FROM conversations", "FROM {c}"), c=spark.read.parquet(f"{d}/conversations.parquet"))
+    blobs = rows.select(F.col("conv_id").alias("repo_id"), "oid", F.lit("blob").alias("type"), F.col("text").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("base"))
     base = blobs.select("repo_id", F.col("oid").alias("base"), F.col("bytes").alias("base_bytes"))
-    rows = chosen.join(base, ["repo_id", "base"]).join(blobs.select("repo_id", "oid", "bytes"), ["repo_id", "oid"])
-    return rows.select("repo_id", "oid", "base", F.octet_length("delta").alias("delta_size"), (codec.patched("base_bytes", "delta") == F.col("bytes")).alias("same"))
+    return packs.select_deltas(blobs).join(base, ["repo_id", "base"]).select("repo_id", "oid", "base", F.md5(codec.patched("base_bytes", "delta")).alias("digest"))
 
 
 ASKED = "SELECT repo_id, conv_id * 4 + k AS request, CASE k WHEN 0 THEN 'conv-' || conv_id WHEN 1 THEN 'v' || conv_id WHEN 2 THEN 'nope' END AS revision FROM (SELECT DISTINCT conv_id @DIV 10 AS repo_id, conv_id FROM conversations) c CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)"
@@ -107,10 +109,6 @@ def resolve_path(spark, d):
     return history.resolve_path(small(spark, d, PATHS).select("repo_id", "request", "tree", "path"), files.unionByName(folders), stored)
 
 
-def hex_line(text: str) -> str:
-    return f"lower(hex(encode(printf('%04x', 4 + octet_length(encode({text}))) || {text})))"
-
-
 @query(f"""WITH h AS ({HEADS}), p AS (SELECT r.*, target AS peeled FROM fx_refs r LEFT JOIN fx_links l ON l.repo_id = r.repo_id AND l.source = r.oid AND r.oid LIKE 'g:%'),
 t AS (SELECT repo_id, 1 AS part, name, oid || ' ' || name || coalesce(' peeled:' || peeled, '') || chr(10) AS text FROM p
   UNION ALL SELECT h.repo_id, 0, 'HEAD', coalesce(oid, 'unborn') || ' HEAD symref-target:' || target || chr(10) FROM h LEFT JOIN fx_refs r ON r.repo_id = h.repo_id AND r.name = h.target)

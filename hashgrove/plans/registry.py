@@ -38,9 +38,14 @@ def repositories(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "fx_repositories").select(*PAGE.split(", "))
 
 
-@query("SELECT * FROM fx_repositories WHERE namespace_slug = 'nation-7' AND name LIKE '%7'")
+ASKED = "SELECT n_nationkey AS request, replace(lower(n_name), '_', '-') AS namespace_slug, 'customer-' || right('000000000' || (n_nationkey * 7 + 1), 9) AS name FROM nation"
+
+
+@query(f"SELECT request, r.* FROM ({ASKED}) a LEFT JOIN fx_repositories r ON r.namespace_slug = a.namespace_slug AND r.name = a.name")
 def repo_point_lookup(spark, d):
-    return fixture(spark, d, "fx_repositories").where("namespace_slug = 'nation-7' AND name LIKE '%7'")
+    """Lookups by the composite key, one for each namespace; a name that is not there gives nulls."""
+    asked = spark.sql(ASKED.replace("FROM nation", "FROM {n}"), n=spark.read.parquet(f"{d}/nation.parquet"))
+    return relational.point_lookup(asked, fixture(spark, d, "fx_repositories"), ["namespace_slug", "name"])
 
 
 @query(page_sql("created_at DESC, name DESC"))
@@ -143,21 +148,16 @@ def object_dedup(spark, d):
     return df.groupBy("oid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("size").alias("size"))
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    raw = fixture(spark, d, "fx_blobs").select("doc_id", "size", F.col("text").cast("binary").alias("raw"))
-    return raw.where("size > 0").select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((size + {CHUNK - 1}) DIV {CHUNK} AS INT)") - 1)).alias("idx"), "raw").select("doc_id", "size", "idx", F.substr("raw", F.col("idx") * CHUNK + 1, F.lit(CHUNK)).alias("bytes"))
-
-
 @query(f"SELECT doc_id, idx::INT AS idx, md5(array_slice(encode(text), (idx * {CHUNK} + 1)::BIGINT, ((idx + 1) * {CHUNK})::BIGINT)) AS digest FROM (SELECT *, unnest(range((size + {CHUNK - 1}) // {CHUNK})) AS idx FROM fx_blobs)")
 def object_chunks(spark, d):
-    return chunks(spark, d).select("doc_id", "idx", F.md5("bytes").alias("digest"))
+    from hashgrove.operators.store import pieces
 
+    blobs = fixture(spark, d, "fx_blobs").select(F.lit(0).alias("repo_id"), F.col("doc_id").alias("oid"), F.col("text").cast("binary").alias("bytes"))
+    return pieces(blobs).select(F.col("oid").alias("doc_id"), "idx", F.md5("bytes").alias("digest"))
 
-@query("SELECT doc_id, md5(text) AS digest, true AS whole FROM fx_blobs")
-def object_rejoin(spark, d):
-    joined = chunks(spark, d).groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("idx", "bytes"))).alias("c"))
-    raw = F.aggregate("c", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["bytes"]))
-    return joined.select("doc_id", F.md5(raw).alias("digest"), (F.octet_length(raw) == F.col("size")).alias("whole"))
+
+def hex_line(text: str) -> str:
+    return f"lower(hex(encode(printf('%04x', 4 + octet_length(encode({text}))) || {text})))"
 
 
 @query("SELECT 'blob:' || (length(bin(greatest(size, 1))) - 1) AS bucket, count(*) AS n FROM fx_blobs GROUP BY 1")
@@ -165,9 +165,9 @@ def size_buckets(spark, d):
     return fixture(spark, d, "fx_blobs").groupBy(size_bucket(F.lit("blob"), F.col("size")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o.repo_id, oid, type, size, list_sort(list(target) FILTER (target IS NOT NULL)) AS targets FROM fx_objects o LEFT JOIN fx_links l ON l.repo_id = o.repo_id AND source = oid WHERE oid LIKE '%:1' GROUP BY ALL".replace("list_sort(list(target) FILTER (target IS NOT NULL)) AS targets", "coalesce(array_to_string(list_sort(list(target) FILTER (target IS NOT NULL)), ','), '') AS targets"))
+@query("SELECT o.repo_id, oid, type, size, list_sort(list(target) FILTER (target IS NOT NULL)) AS targets FROM fx_objects o LEFT JOIN fx_links l ON l.repo_id = o.repo_id AND source = oid GROUP BY ALL".replace("list_sort(list(target) FILTER (target IS NOT NULL)) AS targets", "coalesce(array_to_string(list_sort(list(target) FILTER (target IS NOT NULL)), ','), '') AS targets"))
 def indexed_frontier(spark, d):
-    o = fixture(spark, d, "fx_objects").where("oid LIKE '%:1'")
+    o = fixture(spark, d, "fx_objects")
     links = fixture(spark, d, "fx_links").select("repo_id", F.col("source").alias("oid"), "target")
     return o.join(links, ["repo_id", "oid"], "left").groupBy("repo_id", "oid", "type", "size").agg(F.array_join(F.sort_array(F.collect_list("target")), ",").alias("targets"))
 
@@ -176,7 +176,9 @@ def walk_sql(roots: str, edges: str = "fx_links", stop: str = "SELECT NULL, NULL
     return f"stop_{name}(r, o) AS ({stop}), {name} AS (SELECT repo_id, oid FROM ({roots}) WHERE (repo_id, oid) NOT IN (SELECT (r, o) FROM stop_{name}) UNION SELECT e.repo_id, e.target FROM {name} JOIN {edges} e ON e.repo_id = {name}.repo_id AND e.source = {name}.oid WHERE (e.repo_id, e.target) NOT IN (SELECT (r, o) FROM stop_{name}))"
 
 
-TIPS = "SELECT repo_id, oid FROM fx_refs WHERE name LIKE 'refs/heads/%9'"
+#: Tips are all branches. A fetch wants some of them and has others, which are its input, not a sample.
+TIPS = "SELECT repo_id, oid FROM fx_refs WHERE name LIKE 'refs/heads/%'"
+WANTS = "SELECT repo_id, oid FROM fx_refs WHERE name LIKE 'refs/heads/%9'"
 HAVES = "SELECT repo_id, oid FROM fx_refs WHERE name LIKE 'refs/heads/%8'"
 SHALLOW = "SELECT repo_id, oid FROM fx_objects WHERE oid LIKE 'c:%9:0'"
 
@@ -185,6 +187,10 @@ def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return fixture(spark, d, "fx_objects"), fixture(spark, d, "fx_links"), fixture(spark, d, "fx_refs")
 
 
+def tips(r: DataFrame) -> DataFrame:
+    return r.where("name LIKE 'refs/heads/%'").select("repo_id", "oid")
+
+
 def heads(r: DataFrame, last: str) -> DataFrame:
     return r.where(f"name LIKE 'refs/heads/%{last}'").select("repo_id", "oid")
 
@@ -198,10 +204,10 @@ def closure_full(spark, d):
 @query("WITH e AS (SELECT * FROM fx_links WHERE target_type <> 'blob'), " + walk_sql(TIPS, "e") + " SELECT repo_id, oid FROM w")
 def closure_no_blobs(spark, d):
     _, links, r = parts(spark, d)
-    return graph.closure(links, heads(r, "9"), include_blobs=False).select("repo_id", "oid")
+    return graph.closure(links, tips(r), include_blobs=False).select("repo_id", "oid")
 
 
-@query("WITH " + walk_sql(TIPS, stop=HAVES) + " SELECT repo_id, oid FROM w")
+@query("WITH " + walk_sql(WANTS, stop=HAVES) + " SELECT repo_id, oid FROM w")
 def closure_stop(spark, d):
     _, links, r = parts(spark, d)
     return graph.closure(links, heads(r, "9"), stop_at=heads(r, "8")).select("repo_id", "oid")
@@ -210,17 +216,17 @@ def closure_stop(spark, d):
 @query(f"WITH e AS (SELECT * FROM fx_links WHERE NOT (target_type = 'commit' AND source LIKE 'c:%9:0')), {walk_sql(TIPS, 'e')} SELECT repo_id, oid FROM w")
 def closure_shallow(spark, d):
     o, links, r = parts(spark, d)
-    return graph.closure(links, heads(r, "9"), shallow=o.where("oid LIKE 'c:%9:0'").select("repo_id", "oid")).select("repo_id", "oid")
+    return graph.closure(links, tips(r), shallow=o.where("oid LIKE 'c:%9:0'").select("repo_id", "oid")).select("repo_id", "oid")
 
 
-@query("WITH " + walk_sql(TIPS) + " SELECT repo_id, oid FROM w WHERE oid LIKE 'b:%:0'")
+@query("WITH " + walk_sql(TIPS) + " SELECT repo_id, oid FROM w WHERE oid LIKE 'b:%'")
 def reachable_candidates(spark, d):
     o, links, r = parts(spark, d)
-    found = graph.closure(links, heads(r, "9"))
-    return o.where("oid LIKE 'b:%:0'").join(found, ["repo_id", "oid"], "left_semi").select("repo_id", "oid")
+    found = graph.closure(links, tips(r))
+    return o.where("type = 'blob'").join(found, ["repo_id", "oid"], "left_semi").select("repo_id", "oid")
 
 
-@query("WITH " + walk_sql(TIPS, stop=HAVES) + ", " + walk_sql(HAVES, name="h") + " SELECT repo_id, oid FROM w EXCEPT SELECT repo_id, oid FROM h")
+@query("WITH " + walk_sql(WANTS, stop=HAVES) + ", " + walk_sql(HAVES, name="h") + " SELECT repo_id, oid FROM w EXCEPT SELECT repo_id, oid FROM h")
 def fetch_difference(spark, d):
     _, links, r = parts(spark, d)
     return graph.fetch_difference(links, heads(r, "9"), heads(r, "8"))
@@ -247,7 +253,7 @@ m AS (SELECT repo_id, oid, min(depth)::INT AS depth FROM w GROUP BY ALL)
 SELECT *, depth = 3 AND (repo_id, oid) IN (SELECT (repo_id, source) FROM e) AS shallow, false AS unshallow FROM m""")
 def depth_plan(spark, d):
     _, links, r = parts(spark, d)
-    return graph.depth_plan(links, heads(r, "9"), 3)
+    return graph.depth_plan(links, tips(r), 3)
 
 
 @query("SELECT r.repo_id, r.name, r.oid, l.target AS peeled FROM fx_refs r LEFT JOIN fx_links l ON l.repo_id = r.repo_id AND l.source = r.oid AND r.oid LIKE 'g:%'")
@@ -269,7 +275,7 @@ def sweep_totals(spark, d):
 @query("WITH " + walk_sql(TIPS) + " SELECT 1000 AS repo_id, oid, type, size FROM fx_objects WHERE (repo_id, oid) IN (SELECT (repo_id, oid) FROM w)")
 def fork_default_branch(spark, d):
     o, links, r = parts(spark, d)
-    return graph.fork(o, links, heads(r, "9"), 1000).select("repo_id", "oid", "type", "size")
+    return graph.fork(o, links, tips(r), 1000).select("repo_id", "oid", "type", "size")
 
 
 @query("SELECT repo_id, name, pos, CASE WHEN NOT bogus THEN NULL WHEN prev IS NULL THEN 'the ref no longer exists' ELSE 'the ref has moved since it was advertised' END AS reason FROM fx_commands")
