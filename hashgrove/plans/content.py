@@ -65,7 +65,7 @@ def read_windows(spark, d):
     return packs.read_windows(packs.pack_order(o, deltas), stored, max_bytes=WINDOW)
 
 
-SAME = "SELECT conv_id, turn, right('000' || turn, 3) || ':' || conv_id AS oid, repeat('line of text ' || conv_id || ' ', 80) || turn AS text FROM conversations"
+SAME = "SELECT conv_id, turn, right('000' || turn, 3) || ':' || conv_id AS oid, sha1('a' || conv_id) || sha1('b' || conv_id) || sha1('c' || conv_id) || sha1('d' || conv_id) || sha1('e' || conv_id) || sha1('f' || conv_id) || sha1('g' || conv_id) || turn AS text FROM conversations"
 
 
 @query(f"""WITH o AS (SELECT *, 'blob:' || (length(bin(octet_length(encode(text)))) - 1) AS bucket FROM ({SAME}))
