@@ -64,7 +64,7 @@ class Entry:
 class Index:
     """Inverted index of entries with impacts as shares of each entry's own score, so one threshold fits all."""
 
-    def __init__(self, items: list[tuple[int, str | None]], df: dict[int, int] | None = None, total: int | None = None):
+    def __init__(self, items: list[tuple[int, str | None]], df: dict[int, int] | None = None, total: int | None = None, mean: float | None = None, longest: int | None = None):
         self.entries: list[Entry] = []
         for item, text in items:
             h = word_hashes(text or "")
@@ -80,8 +80,8 @@ class Index:
         n = total or len(self.entries)
         if df is None:
             df = Counter(int(t) for e in self.entries for t in np.unique(e.words))
-        mean = np.mean([len(e.words) for e in self.entries]) if self.entries else 1.0
-        self.stride = max([len(e.words) for e in self.entries], default=1)
+        mean = mean or (np.mean([len(e.words) for e in self.entries]) if self.entries else 1.0)
+        self.stride = longest or max([len(e.words) for e in self.entries], default=1)
         postings: dict[int, list[tuple[int, float]]] = {}
 
         def shares(e: Entry) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +254,15 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Index]:
 
     found = items.mapInPandas(terms, "b long, t long")
     df = found.groupBy("t").agg(F.count("*").alias("df"))
-    total = items.mapInPandas(lambda it: (pd.DataFrame({"n": [len(Index(list(zip(p.item_id, p.text))).entries)]}) for p in it), "n long").agg(F.sum("n")).first()[0]
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [len(e.words) for e in Index(list(zip(pdf.item_id, pdf.text))).entries]
+            yield pd.DataFrame({"n": [len(own)], "words": [sum(own)], "longest": [max(own, default=0)]})
+
+    all_ = items.mapInPandas(lengths, "n long, words long, longest long").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
     for b in range(blocks):
         own = found.where(F.col("b") == b).select("t").distinct().join(df, "t").collect()
-        yield Index([(r.item_id, r.text) for r in items.where(F.pmod("item_id", F.lit(blocks)) == b).orderBy("item_id", "text").collect()], {int(np.int64(r.t).view(np.uint64)): r.df for r in own}, total)
+        yield Index([(r.item_id, r.text) for r in items.where(F.pmod("item_id", F.lit(blocks)) == b).orderBy("item_id", "text").collect()], {int(np.int64(r.t).view(np.uint64)): r.df for r in own}, all_[0], (all_[1] / all_[0]) if all_[0] else None, all_[2])
 
 
 HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"

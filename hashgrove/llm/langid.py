@@ -194,14 +194,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The columns of query op9: learned outside remainder 2, predicted for all."""
+    """The columns of query op9: learned outside remainder 2, predicted for all, ambiguous ones flagged."""
     held = bucket(F.col("doc_id"), 4) == 2
     model = train(docs.where(~held))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def identified(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told: those without a letter, and ambiguous ones scored below ``accept``, go."""
+    """The rows of docs whose language is told: those without a letter, and ambiguous ones scored below ``accept``, go.
+
+    Null and empty texts have no letter and go; whole texts are read; repeated rows go or stay together; all columns of docs
+    stay, whatever their names; an empty table gives no rows; where nothing can be learned, all go.
+    """
     held = bucket(F.col("doc_id"), 4) == 2
     rows = docs.select(F.struct("*").alias("__row"), "text")
     named = predict(rows, train(docs.where(~held)))

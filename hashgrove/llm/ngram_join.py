@@ -493,11 +493,11 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
     if not big.isEmpty():
         cross = cross_cells(big, comp, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(cross_candidates, PROBES_DDL)
         comp = merged(comp, linked(matched(cross, False)))
-    names = members.select("k", "o", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("o").alias("component_id"))
+    names = members.select("k", "doc_id", "n").join(comp.withColumnRenamed("v", "k"), "k").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = comp.join(names, "c").select(F.col("v").alias("k"), "c", "component_id")
-    alone = members.where("n > 0").groupBy("k").agg(F.min("o").alias("own"))
+    alone = members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("own"))
     table = alone.join(named, "k", "left").select("k", F.coalesce("c", "k").alias("c"), F.coalesce("component_id", "own").alias("component_id"))
-    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", "h", "c", F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("o")), F.lit((1 << 63) - 1)).alias("component_id"))
+    return members.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", "h", "c", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame, **limits: int) -> DataFrame:

@@ -29,6 +29,13 @@ class Kind:
     context: tuple[str, ...]
 
 
+#: Length of an IBAN in each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for length, names in IBAN_LENGTHS.items())
+
 #: Patterns, prior scores and context words of each kind.
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -43,8 +50,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          r"\+[0-9][\x20().0-9-]+[0-9]",
          "+", 0.6, True, ("phone", "tel", "call", "mobile", "fax", "telefon", "llame")),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?",
-         r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    Kind("iban", IBAN, IBAN,
          "", 0.7, False, ("iban", "account", "bank", "konto", "cuenta", "compte")),
     Kind("tel", r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
          r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
@@ -75,10 +81,14 @@ def confirmed(kind: str, match: Column) -> Column:
 
 
 def near(text: Column, start: Column, end: Column, words: tuple[str, ...]) -> Column:
-    """Whether a context word stands within CONTEXT_CHARS of a span."""
+    """Whether a context word, as a whole word, stands within CONTEXT_CHARS of a span."""
     before = F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
     around = F.lower(F.concat(before, F.lit(" "), F.substr(text, end + 1, F.lit(CONTEXT_CHARS))))
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(around, w))
+    return around.rlike(whole_word(words))
+
+
+def whole_word(words: tuple[str, ...]) -> str:
+    return rf"(?:^|[^\p{{L}}])(?:{'|'.join(words)})(?:$|[^\p{{L}}])"
 
 
 def spans_of(kind: Kind, rank: int, text: Column, found: Column, gaps: Column) -> Column:
@@ -125,7 +135,11 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "pii") ->
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of personal data replaced by ``[KIND]``; overlapping spans are covered by the first."""
+    """docs with every span of personal data replaced by ``[KIND]``; overlapping spans are covered by the first.
+
+    Null texts stay null, empty ones empty; whole texts are read; all other columns stay as they are; repeated rows are
+    redacted alike.
+    """
     df = find_personal_data(docs, text, "__pii")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -172,12 +186,11 @@ def oracle() -> str:
     """DuckDB SQL of the same spans, by window sums over matches and gaps."""
     ctes = ["d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)"]
     for i, k in enumerate(KINDS):
-        words = ", ".join(f"'{w}'" for w in k.context)
         keep = _duckdb_confirm(k.name) + ("" if k.base else f" AND score >= {THRESHOLD}")
         ctes += [
             f"p{i} AS (SELECT rid, t, unnest(range(1, len(ms) + 1)) AS j, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g FROM (SELECT rid, t, regexp_extract_all(t, '{k.plain}') AS ms, string_split_regex(t, '{k.plain}') AS gs FROM d))",
             f"q{i} AS (SELECT rid, t, m, (sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY j))::INT AS e FROM p{i})",
-            f"r{i} AS (SELECT rid, m, e - length(m) AS s, e, least(1.0, {k.score} + CASE WHEN list_bool_or(list_transform([{words}], lambda w: contains(lower(substr(t, greatest(e - length(m) - {CONTEXT_CHARS}, 0) + 1, least(e - length(m), {CONTEXT_CHARS})) || ' ' || substr(t, e + 1, {CONTEXT_CHARS})), w))) THEN {CONTEXT_BONUS} ELSE 0 END) AS score FROM q{i})",
+            f"r{i} AS (SELECT rid, m, e - length(m) AS s, e, least(1.0, {k.score} + CASE WHEN regexp_matches(lower(substr(t, greatest(e - length(m) - {CONTEXT_CHARS}, 0) + 1, least(e - length(m), {CONTEXT_CHARS})) || ' ' || substr(t, e + 1, {CONTEXT_CHARS})), '{whole_word(k.context)}') THEN {CONTEXT_BONUS} ELSE 0 END) AS score FROM q{i})",
             f"s{i} AS (SELECT rid, s, {i} AS rank, e, '{k.name}' AS kind FROM r{i} WHERE {keep})",
         ]
     base = " UNION ALL ".join(f"SELECT * FROM s{i}" for i, k in enumerate(KINDS) if k.base)

@@ -18,8 +18,9 @@ HARMLESS = "example sample dummy placeholder changeme test commit sha sha1 sha25
 DICTIONARY = "access account active admin after before build change class client code column commit config content count create data date default delete design device document element error event example field file filter first format function global group handler header image index input instance item label last length level link list local login main manager memory message method model module name network node number object option order output package page parameter parent password path pattern point position process product project property query random record reference report request result return role schema score search secret section select sequence server service session setting source start state status string style system table target template test text time title token type update user value version view window word".split()
 
 CANDIDATE = re.compile(
-    r"(?i:\b[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth)[a-z_]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<a>[^\s\"'<>,;]{6,})"
-    r"|(?<![A-Za-z0-9+/_=.-])(?P<b>[A-Za-z0-9+/_-]{16,}={0,2})"
+    r"(?P<k>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END (?:[A-Z]+ )*PRIVATE KEY-----)"
+    r"|(?i:\b[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth(?:orization)?)[a-z_]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?i:(?:bearer|basic|token)\s+)?(?P<a>[^\s\"'<>,;]{6,})"
+    r"|(?<![A-Za-z0-9+/_=.-])(?P<b>[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{16,})*={0,2})"
 )
 MAY_HOLD = r"[A-Za-z0-9+/_-]{16}|(?i:token|secret|passw|pwd|credential|api_?key|access_key|private_key|auth)"
 AROUND = 40
@@ -67,9 +68,11 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str | None, path: str | None = None) -> Iterator[tuple[int, int, str, list[float]]]:
-    """(start, end, value, features) of each candidate in a whole text, however long; bare ones need a letter and a digit."""
+    """(start, end, value, features) of each candidate in a whole text, however long; bare ones need a letter and a digit.
+
+    A key block is one candidate, and so are the parts of a token that dots join."""
     for m in CANDIDATE.finditer(text or ""):
-        group = "a" if m["a"] is not None else "b"
+        group = m.lastgroup
         value, (a, b) = m[group], m.span(group)
         if group == "b" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
@@ -83,12 +86,18 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[list[float],
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     words = lambda k: "_".join(r.choice(DICTIONARY) for _ in range(k))
+
+    def block() -> str:
+        kind_ = r.choice(("", "RSA ", "EC ", "OPENSSH "))
+        return f"-----BEGIN {kind_}PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(2, 26))) + f"\n-----END {kind_}PRIVATE KEY-----"
+
     for _ in range(n):
         name = r.choice(CREDENTIAL)
         if r.random() < 0.5:
-            value = r.choice((lambda: pick(hexa, r.choice((32, 40, 64))), lambda: pick(alnum, r.randint(20, 64)), lambda: pick(alnum + "+/", r.choice((32, 44, 64))), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 48), lambda: pick(alnum + "!#$%&*", r.randint(10, 20))))()
-            quote = r.choice(("\"", "'", ""))
-            text, label = f"{r.choice(DICTIONARY)} {name} {r.choice(('=', ':'))} {quote}{value}{quote} ", 1.0
+            value = r.choice((lambda: pick(hexa, r.choice((32, 40, 64))), lambda: pick(alnum, r.randint(20, 64)), lambda: pick(alnum + "+/", r.choice((32, 44, 64))), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 48), lambda: pick(alnum + "!#$%&*", r.randint(10, 20)), lambda: ".".join(pick(alnum + "-_", r.randint(20, 90)) for _ in range(3)), block))()
+            quote, scheme = r.choice(("\"", "'", "")), r.choice(("", "", "Bearer "))
+            before = r.choice((f"{r.choice(DICTIONARY)} {name} {r.choice(('=', ':'))} {quote}{scheme}", f"{r.choice(DICTIONARY)} ")) if value.startswith("-----") else f"{r.choice(DICTIONARY)} {name} {r.choice(('=', ':'))} {quote}{scheme}"
+            text, label = f"{before}{value}{quote} ", 1.0
         else:
             value, before = r.choice((
                 lambda: (pick(hexa, 40), f"{r.choice(('commit', 'revision', 'sha1'))} "), lambda: (pick(hexa, 64), f"{r.choice(('sha256', 'checksum', 'digest'))}: "),

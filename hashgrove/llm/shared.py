@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashgrove.plans.staging import WRITTEN, delete_folder, shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="hashgrove-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of our own on a local master (tests); on a cluster, an error."""
+    return shared_folder(spark)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -32,9 +30,9 @@ def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        delete_folder(df.sparkSession, path)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 #: Rows of one Arrow batch of texts: what a Python worker holds at once stays small beside the executor's memory.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashgrove.llm.langid import bucket, logistic
+from hashgrove.llm.shared import staged, unstage
 from hashgrove.llm.words import Words, chunks, spans_hash
 
 #: At most about so many labelled documents are learned from: the bound of what training gathers.
@@ -99,7 +100,7 @@ def hash_of(word: str) -> int:
 
 @dataclass(frozen=True)
 class Grammar:
-    """Sorted hashes of closed-class words with their symbols, stems by byte length with weights, the composed table, the calibration."""
+    """Closed words keep their symbols; of the stems that a word begins with the strongest counts. Sorted hashes of closed-class words with their symbols, stems by byte length with weights, the composed table, the calibration."""
 
     closed: tuple[np.ndarray, np.ndarray]
     stems: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -124,14 +125,15 @@ class Grammar:
         words, codes = self.closed
         at = np.minimum(np.searchsorted(words, w.hash), len(words) - 1)
         symbol = np.where(words[at] == w.hash, codes[at], 0).astype(np.int8)
-        bytes_ = w.bytes.astype(np.uint64) + np.uint64(1)
+        bytes_, strongest = w.bytes.astype(np.uint64) + np.uint64(1), np.zeros(n)
         for size, (table, weights) in self.stems.items():
             fits = np.flatnonzero(w.end - w.begin >= size)
             h = spans_hash(bytes_, w.begin[fits], w.begin[fits] + size)
             at = np.minimum(np.searchsorted(table, h), len(table) - 1)
             hit = table[at] == h
-            symbol[fits[hit]] = 1
-            weight[fits[hit]] = np.maximum(np.where(symbol[fits[hit]] == 1, weights[at[hit]], 0), weights[at[hit]])
+            strongest[fits[hit]] = np.maximum(strongest[fits[hit]], weights[at[hit]])
+        insult = (strongest > 0) & (symbol == 0)
+        symbol[insult], weight[insult] = 1, strongest[insult]
         marks = np.flatnonzero(np.isin(w.bytes, np.frombuffer(CLAUSE_MARKS, dtype=np.uint8)))
         clause = np.searchsorted(marks, w.begin)
         events = np.flatnonzero(symbol)
@@ -182,7 +184,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
     empty = Grammar(closed_words(), {}, compose(negated, reported, scoring), None)
     labelled = labelled.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     sample = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = sample.withColumn("half", F.pmod("h", F.lit(2)))
+    sample = staged(sample.withColumn("half", F.pmod("h", F.lit(2))), "toxicity-sample")
 
     def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,6 +209,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
     found = found.where((F.col("yes0") + F.col("yes1") >= 4) & (F.col("yes0") + F.col("yes1") > 2 * (F.col("no0") + F.col("no1")))).toPandas()
     size_of = {(r.half, r.toxic): r.n for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     if not any(t for _, t in size_of) or not len(found):
+        unstage(sample)
         return empty
 
     def grammar(halves: tuple[int, ...], fit: np.ndarray | None) -> Grammar:
@@ -235,6 +238,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
             yield pd.DataFrame({"toxic": pdf.toxic, "f": list(shared.value.features(pdf.text.tolist()))})
 
     fit = sample.where("half = 1").mapInPandas(measure, "toxic int, f array<double>").toPandas()
+    unstage(sample)
     if not 0 < fit.toxic.sum() < len(fit):
         return grammar((0, 1), None)
     return grammar((0, 1), logistic(np.stack(fit.f.to_list()), fit.toxic.to_numpy().astype(float), ridge=1e-4))
