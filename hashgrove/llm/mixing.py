@@ -12,37 +12,63 @@ from pyspark.sql import functions as F
 from hashgrove.llm.shared import staged
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), Fraction(3, 2), 2, 17
-SHARD_WORDS, MAX_SHARDS, MAX_SOURCES, MAX_BLOCK, BLOCKS_OF_LEAST = 2_000_000, 4096, 100_000, 1024, 256
+SHARD_WORDS, MAX_SHARDS, MAX_BLOCK, BLOCKS_OF_LEAST = 500_000, 1 << 16, 1024, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def apportion(weights: list[float], seats: int, caps: list[int]) -> list[int]:
-    """Sainte-Laguë: the ``seats`` highest quotients w/1, w/3, w/5 ..., ties to the earlier entry, at
-    most caps[i] each. A divisor is found by bisection; only the tied last seats are dealt singly."""
-    w, cap = np.asarray(weights, dtype=float), np.asarray(caps, dtype=np.int64)
-    seats = int(min(seats, cap[w > 0].sum()))
+def divisor_seats(w: np.ndarray, seats: int, cap: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, int]:
+    """(seats of each entry, seats left) of Sainte-Laguë where entry i stands for many[i] claimants: as many of the highest
+    quotients w/1, w/3, w/5 ... as one divisor deals; the seats left are fewer than the claimants tied for the next quotients. A divisor is found by bisection."""
+    seats = int(min(seats, (cap * many)[w > 0].sum()))
     if seats <= 0:
-        return [0] * len(w)
+        return np.zeros(len(w), dtype=np.int64), 0
     at = lambda x: np.where(w > 0, np.minimum(cap, np.floor(w * x + 0.5)), 0).astype(np.int64)
     low, high = 0.0, 1.0 / w[w > 0].min()
-    while at(high).sum() < seats:
+    while (at(high) * many).sum() < seats:
         high *= 2
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if at(mid).sum() <= seats else (low, mid)
+        low, high = (mid, high) if (at(mid) * many).sum() <= seats else (low, mid)
     n = at(low)
-    while (rest := seats - int(n.sum())) > 0:
+    return n, seats - int((n * many).sum())
+
+
+def apportion(weights: list[float], seats: int, caps: list[int]) -> list[int]:
+    """Sainte-Laguë: the ``seats`` highest quotients w/1, w/3, w/5 ..., ties to the earlier entry, at most caps[i] each."""
+    w, cap = np.asarray(weights, dtype=float), np.asarray(caps, dtype=np.int64)
+    n, rest = divisor_seats(w, seats, cap, np.ones(len(w), dtype=np.int64))
+    while rest > 0:
         open_ = np.flatnonzero((n < cap) & (w > 0))
         quotient = w[open_] / (2 * n[open_] + 1)
-        n[open_[np.lexsort((open_, -quotient))][:rest]] += 1
+        next_ = open_[np.lexsort((open_, -quotient))][:rest]
+        n[next_] += 1
+        rest -= len(next_)
     return n.tolist()
 
 
-def water_fill(sizes: list[int], weights: list[int], share: Fraction = SHARE, cap: int = CAP) -> list[float]:
-    """Targets by weight that sum to share of all sizes, none above cap times its size; the excess is reshared by weight."""
-    left, target, active = share * sum(sizes), [Fraction(0)] * len(sizes), list(range(len(sizes)))
+def apportion_classes(weights: list[float], seats: int, caps: list[int], many: list[int]) -> tuple[list[int], list[int], int]:
+    """apportion() for classes of many[i] equal claimants: (seats of each member, the classes tied for the last seats, how many
+    of their members, in order, get one more)."""
+    w, cap, m = np.asarray(weights, dtype=float), np.asarray(caps, dtype=np.int64), np.asarray(many, dtype=np.int64)
+    n, rest = divisor_seats(w, seats, cap, m)
+    while rest > 0:
+        open_ = np.flatnonzero((n < cap) & (w > 0))
+        quotient = w[open_] / (2 * n[open_] + 1)
+        tied = open_[quotient == quotient.max()]
+        if m[tied].sum() > rest:
+            return n.tolist(), tied.tolist(), rest
+        n[tied] += 1
+        rest -= int(m[tied].sum())
+    return n.tolist(), [], 0
+
+
+def water_fill(sizes: list[int], weights: list[int], many: list[int], share: Fraction = SHARE, cap: int = CAP) -> list[Fraction]:
+    """Targets by weight that sum to share of all sizes, none above cap times its size; the excess is reshared by weight.
+
+    Entry i stands for many[i] sources of that size and weight; each of them has its target."""
+    left, target, active = share * sum(s * m for s, m in zip(sizes, many)), [Fraction(0)] * len(sizes), list(range(len(sizes)))
     while active:
-        total = sum(weights[i] for i in active)
+        total = sum(weights[i] * many[i] for i in active)
         over = [i for i in active if left * weights[i] > cap * sizes[i] * total]
         if not over:
             for i in active:
@@ -50,9 +76,46 @@ def water_fill(sizes: list[int], weights: list[int], share: Fraction = SHARE, ca
             break
         for i in over:
             target[i] = Fraction(cap * sizes[i])
-        left -= sum(target[i] for i in over)
-        active = [i for i in active if i not in set(over)]
-    return [float(x) for x in target]
+        left -= sum(target[i] * many[i] for i in over)
+        gone = set(over)
+        active = [i for i in active if i not in gone]
+    return target
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with ``place``: 0, 1, 2 ... by code point, null last. Ranges are sorted apart; one count a range reaches the driver."""
+    rows = staged(sources.orderBy(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before, table = 0, []
+    for r in sorted(rows.groupBy("part").count().collect()):
+        table.append((r.part, before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(table, "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
+    return rows.withColumn("own", own).join(F.broadcast(offsets), "part").select("source", "size", (F.col("own") + F.col("before")).alias("place"))
+
+
+def source_targets(sized: DataFrame) -> tuple[DataFrame, int, int]:
+    """(sources with source_size, target and blocks, words of a block, all words) of sized (source, size).
+
+    A source's target and blocks depend on its size and weight alone, so the driver sees one row for each pair of them: fewer
+    than 3 * sqrt(2 * words), as sizes that differ add up, however many sources there are. The last seats of equal quotients go by place.
+    """
+    ranked = numbered(sized.groupBy("source").agg(F.sum("size").alias("size")))
+    ranked = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")))
+    rows = sorted((r["size"], r.w, r.n) for r in ranked.groupBy("size", "w").agg(F.count("*").alias("n")).collect())
+    sizes, weights, many = (list(c) for c in zip(*rows)) if rows else ([], [], [])
+    exact = water_fill(sizes, weights, many)
+    targets = [float(t) for t in exact]
+    block = int(max(1, min(MAX_BLOCK, min((t for t in targets if t > 0), default=1) // BLOCKS_OF_LEAST)))
+    seats, tied, extra = apportion_classes(targets, round(float(sum(t * m for t, m in zip(exact, many))) / block), [CAP * s // block for s in sizes], many)
+    spark = sized.sparkSession
+    classes = spark.createDataFrame([(s, w, t, n, i in set(tied)) for i, (s, w, t, n) in enumerate(zip(sizes, weights, targets, seats))], "size long, w int, target double, blocks long, tied boolean")
+    sources = ranked.join(classes, ["size", "w"])
+    if extra:
+        more = sources.where("tied").orderBy("place").limit(extra).select("place", F.lit(1).alias("more"))
+        sources = sources.join(more, "place", "left").withColumn("blocks", F.col("blocks") + F.coalesce("more", F.lit(0)))
+    sources = sources.select(key_of(F.col("source")).alias("skey"), F.col("size").alias("source_size"), "target", "blocks")
+    return staged(sources, "mix-targets"), block, sum(s * m for s, m in zip(sizes, many))
 
 
 def key_of(source: Column) -> Column:
@@ -63,32 +126,19 @@ def key_of(source: Column) -> Column:
 def mix_sources(docs: DataFrame, seed: int = SEED, text_hash: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
-    Sizes are counted in words; a null or empty text has size 0 and takes 0. Per-source and
-    per-(source, shard) totals are all that leaves the executors (at most MAX_SOURCES sources and
-    MAX_SHARDS shards, else ValueError). Blocks go to sources, then to the shards of a source, by
-    Sainte-Laguë; in a shard, documents stand in seeded order, the whole order is taken as often as
+    Sizes are counted in words; a null or empty text has size 0 and takes 0. Blocks go to sources, then to the shards of a
+    source, by Sainte-Laguë; in a shard, documents stand in seeded order, the whole order is taken as often as
     its quota covers, and the leading blocks once more. A hot source has as many shards as any, so no task
-    holds it whole. Reruns agree; repeated rows count each; an empty table gives no rows. With ``text_hash``,
-    a column of that name tells texts of one id, null ones too, apart.
+    holds it whole; there may be any number of sources. Reruns agree; repeated rows count each; an empty table gives no rows. With
+    ``text_hash``, a column of that name tells texts of one id, null ones too, apart.
     """
     named = [F.xxhash64("text").alias("text_hash")] if text_hash else []
-    spark = docs.sparkSession
     sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *named), "mix-sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in rows]
-    targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-    total, positive = sum(sizes), [t for t in targets if t > 0]
-    block = int(max(1, min(MAX_BLOCK, min(positive, default=1) // BLOCKS_OF_LEAST)))
-    seats = apportion(targets, round(sum(targets) / block), [CAP * s // block for s in sizes])
+    per_source, block, total = source_targets(sized)
     shards = max(1, min(MAX_SHARDS, -(-total // SHARD_WORDS)))
 
     dealt = sized.withColumns({"skey": key_of(F.col("source")), "h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))})
     dealt = dealt.withColumn("shard", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards)
-    per_source = spark.createDataFrame([(("n" if r.source is None else "s" + r.source), r["size"], t, n) for r, t, n in zip(rows, targets, seats)], "skey string, source_size long, target double, blocks long")
-
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         words = pdf.words.tolist()
