@@ -85,27 +85,35 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, oid, doc_id, text, tail) of docs for a per-part walk in descending doc_id order.
 
-    Ids are cut into as many ranges as there are input splits; the head of every range is repeated,
-    as ``tail``, at the end of the range before it (the first range's at the last), so each row finds
-    its follower in its own part. A null doc_id comes last; ties stand in the order of their texts' hash.
+    Ids are cut into as many ranges as there are input splits, a hot id's rows further by their texts' hash; the head of
+    every range is repeated, as ``tail``, at the end of the range before it (the first range's at the last), so each row finds
+    its follower in its own part. A null doc_id comes last; ties stand in the order of their texts' hash. One bound and one
+    head a split reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("oid"), "doc_id", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("oid"), F.bitwise_not(F.xxhash64("text")).alias("turned"), "doc_id", "text")
     parts = max(1, docs.rdd.getNumPartitions())
-    cuts = rows.agg(F.percentile_approx("oid", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    bounds = spark.sparkContext.broadcast(np.unique(np.asarray(cuts or [], dtype=np.int64)))
+    cuts = rows.agg(F.percentile_approx("oid", [i / parts for i in range(1, parts)], 10 * max(1000, parts))).first()[0] if parts > 1 else []
+    bounds = spark.sparkContext.broadcast(np.asarray(cuts or [], dtype=np.int64))
 
     @F.pandas_udf("long")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, ids.to_numpy(), side="left"))
-
-    rows = rows.withColumn("part", part_of("oid"))
-    heads = sorted((r.part, r.top) for r in rows.groupBy("part").agg(F.max("oid").alias("top")).collect())
-    before = [(p, top, heads[i - 1][0]) for i, (p, top) in enumerate(heads)]
-    table = spark.createDataFrame(before, "part long, top long, before long")
-    places = F.when(F.col("oid") == F.col("top"), F.array(F.struct(F.col("part"), F.lit(False).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("tail"))))
-    rows = rows.join(F.broadcast(table), "part").select("oid", "doc_id", "text", F.explode(places).alias("p")).select("p.part", "p.tail", "oid", "doc_id", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc("oid"), F.xxhash64("text"))
+    def part_of(ids: pd.Series, turned: pd.Series) -> pd.Series:
+        """Of the ranges that bounds of one id leave empty, each takes a share of that id's hashes."""
+        cuts, own = bounds.value, ids.to_numpy()
+        at = np.searchsorted(cuts, own, side="left")
+        many = np.searchsorted(cuts, own, side="right") - at
+        share = (turned.to_numpy() + 2.0**63) / 2.0**64
+        return pd.Series(len(cuts) - at - np.minimum(np.floor(share * many), np.maximum(many - 1, 0)).astype(np.int64))
+
+    rows = rows.withColumn("part", part_of("oid", "turned"))
+    heads = sorted((r.part, r.top.oid, r.top.turned) for r in rows.groupBy("part").agg(F.max(F.struct("oid", "turned")).alias("top")).collect())
+    before = [(p, oid, turned, heads[i - 1][0]) for i, (p, oid, turned) in enumerate(heads)]
+    table = spark.createDataFrame(before, "part long, top long, first long, before long")
+    own = F.struct(F.col("part"), F.lit(False).alias("tail"))
+    heading = (F.col("oid") == F.col("top")) & (F.col("turned") == F.col("first"))
+    places = F.when(heading, F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(own))
+    rows = rows.join(F.broadcast(table), "part").select("oid", "turned", "doc_id", "text", F.explode(places).alias("p")).select("p.part", "p.tail", "oid", "turned", "doc_id", "text")
+    return rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "tail", F.desc("oid"), F.desc("turned"))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

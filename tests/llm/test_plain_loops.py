@@ -194,3 +194,38 @@ def test_pipeline_stages_take_edge_rows(spark, tmp_path):
             kept = spark.createDataFrame(out.collect(), out.schema)
     texts = {r.text for r in kept.collect()}
     assert "a dog and a cat are in the house" in texts and None not in texts and "" not in texts and not any(t.startswith("the dog") for t in texts)
+
+
+def plain_spots(text):
+    """An anchor and the three content words after it, as words; a text without a whole spot is one spot of all its words."""
+    from hashgrove.llm.spots import ANCHORS
+
+    words = RUN.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "").encode())
+    content = [(k, w) for k, w in enumerate(words) if w.decode("utf-8", "replace") not in ANCHORS]
+    out = set()
+    for k, w in enumerate(words):
+        chain = [c for j, c in content if j > k][:3]
+        if w.decode("utf-8", "replace") in ANCHORS and len(chain) == 3:
+            out.add((w, *chain))
+    return out or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("split", [1, 6])
+def test_fingerprints_equal_plain_spots(split, spark, sf):
+    from hashgrove.llm import spots
+
+    texts = {r.doc_id: r.text for r in documents(spark, sf).collect() if len(r.text or "") < 3000}
+    rows = [(i, t) for i, t in texts.items()] + [(None, t) for t in list(texts.values())[:40]] + [(None, None), (None, ""), (max(texts) + 1, "Alpha")]
+    got = spots.digest(spark.createDataFrame(rows, PAIR).repartition(split)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    order = sorted((r for r in rows if r[0] is not None), reverse=True)
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (i, t), (_, follower) in zip(order, order[1:]):
+        edited = t[: len(t) - len(t) // 3] + follower[: len(t) // 3]
+        assert math.isclose(by_id[i].near_next, like(plain_spots(t), plain_spots(follower)), abs_tol=1e-9)
+        assert math.isclose(by_id[i].near_edited, like(plain_spots(t), plain_spots(edited)), abs_tol=1e-9)
+    prints = {}
+    assert all(prints.setdefault(r.fingerprint, r.n_chars) is not None for r in got)
+    nulls = [r for r in got if r.doc_id is None]
+    assert len(nulls) == 42
