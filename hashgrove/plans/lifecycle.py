@@ -356,3 +356,86 @@ def push_unpacked(spark, d):
     rows = c.withColumn("push_id", F.expr("pos DIV 40"))
     lacks, failed = c.where("pos % 9 = 1").select("repo_id", F.col("new_oid").alias("oid")), rows.where("push_id % 7 = 0").select("repo_id", "push_id")
     return refs.screen(rows, held, lacks, failed).select("repo_id", "name", "pos", "reason")
+
+
+@query("SELECT k AS request, o.repo_id, o.oid, o.type, o.size FROM (SELECT repo_id % 7 AS k, repo_id, oid FROM fx_objects WHERE type IN ('commit', 'tag')) r JOIN fx_objects o ON o.repo_id = r.repo_id AND o.oid = r.oid")
+def requested_list(spark, d):
+    """Each request names its objects in one JSON array, which becomes rows and is joined."""
+    o = fixture(spark, d, "fx_objects")
+    lists = o.where("type IN ('commit', 'tag')").groupBy((F.col("repo_id") % 7).alias("request"), "repo_id").agg(F.to_json(F.collect_list("oid")).alias("list"))
+    asked = lists.select("request", "repo_id", F.explode(F.from_json("list", "array<string>")).alias("oid"))
+    return asked.join(o, ["repo_id", "oid"]).select("request", "repo_id", "oid", "type", "size")
+
+
+@query("""SELECT page_id, 'dir a/' || page_id || '+b.' || CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'json' ELSE 'none9' END AS path, CASE WHEN page_id % 5 = 0 THEN 'malformed' END AS fault,
+CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' ELSE 'application/octet-stream' END AS media, 'https://h:1/git/ns/r' || page_id || '.git' AS remote FROM pages""".replace("SELECT page_id, 'dir a/' || page_id || '+b.' || CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'json' ELSE 'none9' END AS path", "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN 'dir a/' || page_id || '+b.' || CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'json' ELSE 'none9' END END AS path"))
+def raw_paths(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id")
+    plain = F.concat(F.lit("dir%20a/"), "page_id", F.lit("+b."), F.element_at(F.array(*map(F.lit, ("html", "json", "none9"))), (F.col("page_id") % 3 + 1).cast("int")))
+    got = text.decoded_path(F.when(F.col("page_id") % 5 == 0, F.concat(plain, F.lit("%f"))).otherwise(plain))
+    remote = text.remote_url(F.lit("https://h:1/api/v1?x=y"), F.lit("ns"), F.concat(F.lit("r"), "page_id"))
+    return p.select("page_id", got["path"].alias("path"), got["fault"].alias("fault"), text.media_type(plain).alias("media"), remote.alias("remote"))
+
+
+@query("""WITH h AS (SELECT c_custkey AS id, c_custkey % 256 AS a, (c_custkey * 7) % 256 AS b FROM customer)
+SELECT id, coalesce(a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168), false) AS inner4, a >= 252 AND a <= 253 AS inner6 FROM h""")
+def sensitive_hosts(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 256).alias("a"), (F.col("c_custkey") * 7 % 256).alias("b"))
+    six = F.concat(F.lit("["), F.lower(F.lpad(F.hex("a"), 2, "0")), F.lit("07::5]"))
+    return c.select("id", text.sensitive_host(F.concat_ws(".", "a", "b", F.lit("3"), F.lit("4"))).alias("inner4"), text.sensitive_host(six).alias("inner6"))
+
+
+@query("SELECT event_id, floor(event_id * 1.0)::BIGINT AS seconds, round(event_id / 7.0, 2)::DOUBLE AS share, 'repo_' || sha1('u' || event_id) AS repository, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'e' || event_id END AS label, CASE WHEN event_id % 3 = 2 THEN 'too-long' END AS fault FROM events")
+def plain_rules(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    k = F.col("event_id") % 3
+    label = text.optional_text(F.when(k == 0, "  ").when(k == 1, F.concat(F.lit(" e"), "event_id", F.lit("\t"))).otherwise(F.lit("x" * 40)), 30)
+    share = text.two_decimals((F.col("event_id") / F.lit(7.0)).cast("double"))
+    return e.select("event_id", text.unix_floor(F.col("event_id") * 1000 + 999).alias("seconds"), share.alias("share"), text.repository_id(F.sha1(F.concat(F.lit("u"), "event_id"))).alias("repository"), label["value"].alias("label"), label["fault"].alias("fault"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT conv_id // 10 AS repo_id, 'refs/heads/conv-' || (conv_id // 10 * 10 + 2) AS target FROM conversations),
+p AS (SELECT r.repo_id, r.name, r.oid, r.name AS k FROM fx_refs r UNION ALL SELECT r.repo_id, r.name || '^{{}}', l.target, r.name || chr(0) FROM fx_refs r JOIN fx_links l ON l.repo_id = r.repo_id AND l.source = r.oid WHERE r.oid LIKE 'g:%'
+  UNION ALL SELECT h.repo_id, 'HEAD', r.oid, '' FROM h JOIN fx_refs r ON r.repo_id = h.repo_id AND r.name = h.target),
+n AS (SELECT p.*, row_number() OVER (PARTITION BY repo_id ORDER BY k) AS nth, target FROM p JOIN h USING (repo_id)),
+t AS (SELECT repo_id, 3 AS part, k AS name, oid || ' ' || name || CASE WHEN nth = 1 THEN chr(0) || 'multi_ack_detailed thin-pack side-band-64k ofs-delta object-format=sha1 agent=test/1 symref=HEAD:' || target ELSE '' END || chr(10) AS text FROM n
+  UNION ALL SELECT repo_id, 0, '', '# service=git-upload-pack' || chr(10) FROM h)
+SELECT repo_id, part, hex(encode(name)) AS name, {hex_line('text')} AS line FROM t UNION ALL SELECT repo_id, k, '', lower(hex(encode('0000'))) FROM h, (VALUES (1), (5)) AS v(k)""")
+def advertisement(spark, d):
+    o, links, r = parts(spark, d)
+    at = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id DIV 10 AS repo_id", "'symbolic' AS kind", "'refs/heads/conv-' || (conv_id DIV 10 * 10 + 2) AS target").distinct()
+    return wire.advertisement(graph.peel(r, links, o), at, "test/1").select("repo_id", "part", F.hex("name").alias("name"), F.lower(F.hex("line")).alias("line"))
+
+
+@query(f"""WITH r AS (SELECT repo_id, list_sort(list(sha1(oid))) AS oids FROM fx_refs GROUP BY repo_id)
+SELECT repo_id AS id, array_to_string(list_transform(oids, lambda o: 'want ' || o), ',') || ',done' AS arguments FROM r""")
+def requests_v2(spark, d):
+    r = parts(spark, d)[2].groupBy("repo_id").agg(F.array_sort(F.collect_list(F.sha1("oid"))).alias("oids"))
+    line = lambda c: codec.pkt_line(F.concat(c, F.lit("\n")))
+    mark = lambda c: F.lit(c).cast("binary")
+    lines = F.concat(F.array(line(F.lit("command=fetch")), mark("0001")), F.transform("oids", lambda o: line(F.concat(F.lit("want "), o))), F.array(line(F.lit("done")), mark("0000")))
+    bodies = r.select(F.col("repo_id").alias("id"), F.aggregate(lines, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)).alias("body"))
+    return wire.commands_v2(wire.frames(bodies)).where("fault IS NULL").select("id", F.array_join("arguments", ",").alias("arguments"))
+
+
+@query(f"{over('st')}, k AS (SELECT repo_id, oid, type, size, row_number() OVER (PARTITION BY repo_id ORDER BY oid) AS nth FROM st WHERE complete AND oid > '2') SELECT repo_id, oid, type, size FROM k WHERE nth <= 8")
+def repack_batch(spark, d):
+    """The next objects to repack: walked, complete, behind the cursor, in order."""
+    objects = table(spark, d, STORE)
+    walked = stored(spark, d).select("repo_id", "oid")
+    cursors = objects.select("repo_id").distinct().withColumn("cursor", F.lit("2"))
+    return maintenance.next_batch(walked.join(objects.where("complete"), ["repo_id", "oid"]), cursors, maintenance.REPACK_BATCH).select("repo_id", "oid", "type", "size")
+
+
+@query(f"{over('st')} SELECT repo_id, count(DISTINCT oid) AS copied, count(*) AS entries FROM (SELECT repo_id, oid FROM st UNION ALL SELECT repo_id, oid FROM st WHERE type = 'tag') GROUP BY repo_id")
+def object_counts(spark, d):
+    """A fork counts distinct ids, an import counts the entries of its pack."""
+    o = stored(spark, d).select("repo_id", "oid", "type")
+    rows = o.unionByName(o.where("type = 'tag'"))
+    return rows.groupBy("repo_id").agg(F.count_distinct("oid").alias("copied"), F.count("*").alias("entries"))
+
+
+@query()
+def pack_checksums(spark, d):
+    """CRC-32 of every object's deflated form, as pack indexes have it; DuckDB has no such function, so tests compare it with zlib."""
+    return stored(spark, d).select("repo_id", "oid", F.crc32(codec.deflated("bytes")).alias("crc"))

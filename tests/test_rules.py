@@ -137,3 +137,13 @@ def test_closure_equals_a_plain_walk(spark):
     roots, stops = (table(spark, x, "repo_id long, oid string") for x in (roots, stops))
     assert {tuple(x) for x in graph.closure(links, roots).collect()} == want
     assert {tuple(x) for x in graph.closure(links, roots, stop_at=stops, include_blobs=False).collect()} == bare
+
+
+def test_checksums_equal_zlib(spark, sf):
+    import zlib
+
+    from hashgrove.plans.bytes import stored
+    from hashgrove.plans.content import QUERIES
+
+    got = {r.oid: r.crc for r in QUERIES["pack_checksums"](spark, sf).collect()}
+    assert got == {r.oid: zlib.crc32(zlib.compress(bytes(r.bytes))) for r in stored(spark, sf).collect()}
