@@ -9,7 +9,7 @@ from functools import reduce
 from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashgrove.functions import codec
@@ -21,6 +21,19 @@ from hashgrove.plans.staging import counted_cut, cut
 WINDOW_BYTES, WINDOW_KEYS, SHARE, ID_BYTES = 8 << 20, 96, 0.875, 20
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 0 in ``order`` within ``group``, without a task that holds a whole group.
+
+    A global sort cuts the rows into ranges; each range numbers its own rows of a group, and the rows of the group in the
+    ranges before are added: one count a range and group.
+    """
+    cut_up = cut(rows.orderBy(group, *order).withColumn("__part", F.spark_partition_id()))
+    counts = cut_up.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
+    return cut_up.withColumn("__own", own).join(counts.withColumn("__before", before).drop("__n"), [group, "__part"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 def pack_order(objects: DataFrame, deltas: DataFrame) -> DataFrame:
     """(repo_id, oid, place, base) of objects (repo_id, oid, pos): every delta after its base, else first come, first served.
 
@@ -41,8 +54,7 @@ def pack_order(objects: DataFrame, deltas: DataFrame) -> DataFrame:
         frontier = cut(step.select("repo_id", "oid", F.lit(level).alias("level"), F.concat("way", F.array("pos")).alias("way")))
         done = done.unionByName(frontier)
     rows = own.join(done, ["repo_id", "oid"], "left")
-    order = Window.partitionBy("repo_id").orderBy(F.asc_nulls_last("level"), "way", "pos")
-    return rows.select("repo_id", "oid", (F.row_number().over(order) - 1).alias("place"), "base")
+    return ranked(rows, "repo_id", [F.asc_nulls_last("level"), F.asc("way"), F.asc("pos")], "place").select("repo_id", "oid", F.col("place").cast("int").alias("place"), "base")
 
 
 def read_windows(order: DataFrame, stored: DataFrame, client: DataFrame | None = None, max_bytes: int = WINDOW_BYTES, max_keys: int = WINDOW_KEYS) -> DataFrame:
