@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashgrove.llm.shared import small_batches
+from hashgrove.llm.shared import small_batches, staged, unstage
 from hashgrove.llm.words import U64, chunks
 
-#: Labelled documents learned from, for each language, and the most languages: bounds of what training gathers.
-SAMPLE_DOCS, MAX_LANGUAGES = 3000, 256
+#: Labelled documents learned from, for each language and in all, and the most languages: bounds of what training gathers.
+SAMPLE_DOCS, SAMPLE_ALL, MAX_LANGUAGES = 3000, 768_000, 4096
 DIMS_BITS, ORDERS, AMBIGUOUS = 15, (1, 2, 3), 0.2
 
 
@@ -104,8 +104,9 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-3
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from (doc_id, text, lang) rows with a language and a letter; None if there are none.
 
-    At most about ``sample_docs`` documents of each language, picked by a hash of their id, are learned
-    from; sums over n-grams and the margins of that sample are all that reaches the driver.
+    At most about ``sample_docs`` documents of each language, and SAMPLE_ALL of all, picked by a hash of their id, are learned
+    from. Weights are made feature by feature and calibrations bit by bit on the executors; the driver gets the model alone,
+    so many numbers as there are features and bits. More than MAX_LANGUAGES languages are a ValueError.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -115,7 +116,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
-    share = spark.createDataFrame([(k, sample_docs / n) for k, n in counts.items()], "lang string, share double")
+    share = spark.createDataFrame([(k, min(sample_docs, SAMPLE_ALL / len(counts)) / n) for k, n in counts.items()], "lang string, share double")
     picked = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
     sample = labelled.join(F.broadcast(share), "lang").where(picked).select("text", "lang")
 
@@ -131,38 +132,65 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "feature": at, "n": total[at]})
 
-    table = sample.mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(table.lang.unique())
+    table = sample.mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    table = staged(table, "langid-counts")
+    totals = {r["lang"]: r.n for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     if not languages:
         return None
-    seen = np.zeros((len(languages), 1 << DIMS_BITS))
-    seen[table.lang.map({k: i for i, k in enumerate(languages)}).to_numpy(), table.feature.to_numpy()] = table.n.to_numpy()
-    p = (seen + 0.1) / (seen + 0.1).sum(axis=1, keepdims=True)
     code = codewords(len(languages))
-    weights = np.zeros((1 << DIMS_BITS, code.shape[1]), dtype=np.float32)
-    for bit in range(code.shape[1]):
-        yes, no = code[:, bit] > 0, code[:, bit] < 0
-        if yes.any() and no.any():
-            weights[:, bit] = np.log(p[yes].mean(axis=0)) - np.log(p[no].mean(axis=0))
+    width = 1 << DIMS_BITS
+    scale = np.array([1 / (totals[k] + 0.1 * width) for k in languages])
+    shared = spark.sparkContext.broadcast((code > 0, scale))
+
+    def odds(shares: np.ndarray) -> np.ndarray:
+        """Of shares (rows, languages): for each bit, the log of the mean share of its languages over that of the others."""
+        yes, _ = shared.value
+        n, m = yes.sum(axis=0), (~yes).sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.log(shares @ yes / n) - np.log(shares @ ~yes / m)
+        return np.where((n > 0) & (m > 0), out, 0).astype(np.float32)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scale = shared.value[1]
+        for pdf in batches:
+            seen = np.full((len(pdf), len(scale)), 0.1)
+            for row, (who, n) in enumerate(zip(pdf.who, pdf.n)):
+                seen[row, np.asarray(who)] += np.asarray(n)
+            yield pd.DataFrame({"feature": pdf.feature, "w": list(odds(seen * scale))})
+
+    place = spark.createDataFrame(list(enumerate(languages)), "at int, lang string")
+    seen = table.join(F.broadcast(place), "lang").groupBy("feature").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("feature", F.col("s.at").alias("who"), F.col("s.n").alias("n"))
+    weights = np.repeat(odds(0.1 * scale[None, :]), width, axis=0)
+    for r in seen.mapInPandas(weigh, "feature int, w array<float>").toLocalIterator():
+        weights[r.feature] = r.w
+    unstage(table)
     ones = np.ones(code.shape[1])
     model = Model(languages, code, weights, ones, 0 * ones, ones)
-    shared = spark.sparkContext.broadcast(model)
+    known = spark.sparkContext.broadcast(model)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {k: i for i, k in enumerate(known.value.languages)}
         for pdf in batches:
             pdf = pdf[pdf.text.map(has_letter)]
             if len(pdf):
-                yield pd.DataFrame({"lang": pdf.lang, "m": list(shared.value.margins(pdf.text.tolist()))})
+                x = known.value.margins(pdf.text.tolist())
+                y = known.value.code[pdf.lang.map(number).to_numpy()] > 0
+                yield pd.DataFrame({"bit": np.tile(np.arange(x.shape[1]), len(x)), "x": x.ravel(), "y": y.ravel()})
+
+    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        x, y = pdf.x.to_numpy(), pdf.y.to_numpy().astype(float)
+        slope, shift, trust = 1.0, 0.0, 1.0
+        if 0 < y.sum() < len(y):
+            slope, shift = logistic(np.column_stack((x, np.ones(len(y)))), y, ridge=1e-4)
+            error = min(max(np.mean((x * slope + shift > 0) != (y > 0.5)), 1e-3), 0.499)
+            trust = np.log((1 - error) / error)
+        return pd.DataFrame({"bit": [pdf.bit.iloc[0]], "slope": [slope], "shift": [shift], "trust": [trust]})
 
-    fit = sample.mapInPandas(margins, "lang string, m array<double>").toPandas()
-    x, who = np.stack(fit.m.to_list()), fit.lang.map({k: i for i, k in enumerate(languages)}).to_numpy()
     slope, shift, trust = ones.copy(), 0 * ones, ones.copy()
-    for bit in range(code.shape[1]):
-        y = (code[who, bit] > 0).astype(float)
-        if 0 < y.sum() < len(y):
-            slope[bit], shift[bit] = logistic(np.column_stack((x[:, bit], np.ones(len(y)))), y, ridge=1e-4)
-            error = min(max(np.mean((x[:, bit] * slope[bit] + shift[bit] > 0) != (y > 0.5)), 1e-3), 0.499)
-            trust[bit] = np.log((1 - error) / error)
+    for r in sample.mapInPandas(margins, "bit int, x double, y boolean").groupBy("bit").applyInPandas(calibrate, "bit int, slope double, shift double, trust double").collect():
+        slope[r.bit], shift[r.bit], trust[r.bit] = r.slope, r.shift, r.trust
     return Model(languages, code, weights, slope, shift, trust * len(trust) / trust.sum())
 
 

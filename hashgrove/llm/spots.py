@@ -22,6 +22,8 @@ ANCHORS = (
     "el los las una es de por con para se"
 ).split()
 CHAIN, THRESHOLD = 3, 0.75
+#: How many of the commonest signatures stand last in the order of prefixes: the bound of what is broadcast.
+FREQUENT = 100_000
 LOWEST = -(1 << 63)
 
 _anchor_hash: np.ndarray | None = None
@@ -165,14 +167,14 @@ def digest(docs: DataFrame) -> DataFrame:
     return with_next(docs).select("part", "tail", "doc_id", "text").mapInArrow(walk, RESULT)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id (the least doc_id with equal signatures) of every row, and the pairs between classes.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs): doc_id, key and class_id of every row, and the pairs (a_key, b_key, a, b, likeness) of classes whose Jaccard reaches ``threshold``.
 
-    Returns (membership, pairs): pairs (a, b, likeness) join class representatives whose Jaccard reaches
-    ``threshold``. Equal sets are collapsed first, so copies are never paired. Sets are partitioned by length
-    range: a set probes its own range and the one below, as no farther length can reach the threshold, and only
-    through signatures of its prefix in hash order, so no pair is lost. Null and empty texts are classes of the
-    empty set and pair with nothing.
+    A class is the rows of one signature set, ``key`` its digest, class_id (a, b) its least doc_id, null if it has none. Equal sets are collapsed
+    first, so copies are never paired. Sets are partitioned by length range: a set probes its own range and the one
+    below, as no farther length can reach the threshold, and only through signatures of its prefix, rare ones first, so no
+    pair is lost. The FREQUENT commonest signatures, which stand last, are broadcast. Null and empty texts are classes of
+    the empty set and pair with nothing; an empty table gives no rows; only doc_id and text are read.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +183,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))], names=["doc_id", "sigs"])
 
     found = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, sigs array<long>").withColumn("key", F.sha2(F.array_join(F.col("sigs").cast("array<string>"), ","), 256)), "spots")
-    classes = found.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")).where(F.size("sigs") > 0)
-    classes = staged(classes, "spot-classes")
+    classes = staged(found.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "spot-classes")
+    some = classes.where(F.size("sigs") > 0)
+    common = some.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 8").orderBy(F.desc("n"), "sig").limit(FREQUENT).collect()
+    rank = docs.sparkSession.sparkContext.broadcast({r.sig: -k for k, r in enumerate(common, 1)})
+
+    @F.pandas_udf("array<long>")
+    def rare_first(sigs: pd.Series) -> pd.Series:
+        order = rank.value
+        return sigs.map(lambda s: sorted(s.tolist(), key=lambda x: (x in order, order.get(x, 0), x)))
+
     n = F.size("sigs")
-    prefix = F.slice("sigs", 1, (n - F.ceil(n * threshold) + 1).cast("int"))
+    prefix = F.slice(rare_first("sigs"), 1, (n - F.ceil(n * threshold) + 1).cast("int"))
     band = F.floor(F.log(n.cast("double")) / float(-np.log(threshold)) + 1e-9)
-    rows = classes.select("class_id", n.alias("n"), band.alias("band"), F.explode(prefix).alias("sig"))
+    rows = staged(some.select("key", n.alias("n"), band.alias("band"), F.explode(prefix).alias("sig")), "spot-prefixes")
     left = rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
     a, b = left.alias("a"), rows.alias("b")
-    pairs = a.join(b, ["band", "sig"]).where("(a.n > b.n OR (a.n = b.n AND a.class_id > b.class_id))").where(F.col("b.n") >= F.col("a.n") * threshold).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
-    x, y = classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("x")), classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("likeness")).where(F.col("likeness") >= threshold)
-    return found.select("doc_id", "key").join(classes.select("key", "class_id"), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), scored
+    pairs = a.join(b, ["band", "sig"]).where("(a.n > b.n OR (a.n = b.n AND a.key > b.key))").where(F.col("b.n") >= F.col("a.n") * threshold).select(F.col("a.key").alias("a_key"), F.col("b.key").alias("b_key")).distinct()
+    x, y = (some.select(F.col("key").alias(f"{c}_key"), F.col("class_id").alias(c), F.col("sigs").alias(f"{c}_sigs")) for c in "ab")
+    both = F.size(F.array_intersect("a_sigs", "b_sigs"))
+    scored = pairs.join(x, "a_key").join(y, "b_key").select("a_key", "b_key", "a", "b", (both / (F.size("a_sigs") + F.size("b_sigs") - both)).alias("likeness")).where(F.col("likeness") >= threshold)
+    return found.select("doc_id", "key").join(classes.select("key", "class_id"), "key").select("doc_id", "key", "class_id"), scored

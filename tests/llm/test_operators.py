@@ -188,6 +188,9 @@ def test_spots_against_brute_force(spark, sf):
     at = {rows[k][0]: sets[k] for k in range(len(rows))}
     want = {(max(x, y), min(x, y)) for x in ids for y in ids if x < y and at[x] and at[y] and len(at[x] & at[y]) >= 0.75 * len(at[x] | at[y])}
     assert {(max(r.a, r.b), min(r.a, r.b)) for r in pairs.collect()} == want
+    rows = [(None, "the cat sat on a mat and the dog ran to a big old house far away"), (None, "the cat sat on a mat and the dog ran to a big old house far away with grey stone walls"), (3, None)]
+    members, pairs = spots.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.5)
+    assert members.count() == 3 and pairs.count() == 1
 
 
 def test_codewords_are_apart():
