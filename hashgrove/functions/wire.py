@@ -19,8 +19,9 @@ FLUSH = "0000"
 OID = "[0-9a-f]{40}"
 
 
-def frames(bodies: DataFrame) -> DataFrame:
+def frames(bodies: DataFrame, version: int = 2) -> DataFrame:
     """(id, pos, kind, payload) of the frames of bodies (id, body): kind line, flush, delimiter, response-end, or malformed, which ends a body.
+    Delimiter and response-end are malformed before version 2.
 
     A body is read in one task as it is one request; null and empty bodies have no frames.
     """
@@ -29,7 +30,7 @@ def frames(bodies: DataFrame) -> DataFrame:
         while at < len(raw):
             digits = raw[at : at + 4]
             n = int(digits, 16) if len(digits) == 4 and not set(digits.lower()) - set(b"0123456789abcdef") else 3
-            if n in MARKS:
+            if n in MARKS and (n == 0 or version == 2):
                 yield MARKS[n], None
             elif n < 4 or n > LONGEST or at + n > len(raw):
                 yield "malformed", None
@@ -229,6 +230,21 @@ def encode_cursor(*key: Column | str) -> Column:
     return F.rtrim(F.translate(F.regexp_replace(raw, "\\s", ""), "+/", "-_"), F.lit("="))
 
 
+def bound_cursor(cursor: Column, schema: str, asked: dict[str, str]) -> Column:
+    """(key, fault) of a cursor: null and empty start at the beginning; one that is none is ``bad-cursor``, one made for another
+    sort, direction or search, which ``asked`` names, ``query-mismatch``."""
+    key = decode_cursor(cursor, schema)
+    same = reduce(lambda a, b: a & b, (key[name] == value for name, value in asked.items()), F.lit(True))
+    start = F.coalesce(cursor == "", F.lit(True))
+    fault = F.when(start, F.lit(None).cast("string")).when(key.isNull(), "bad-cursor").when(~same, "query-mismatch")
+    return F.struct(F.when(~start & fault.isNull(), key).alias("key"), fault.alias("fault"))
+
+
+def progress(text: Column) -> Column:
+    """A line of the progress band, for people to read."""
+    return banded(2, text)
+
+
 def decode_cursor(cursor: Column, schema: str) -> Column:
     """The key of a cursor as a struct of text columns; null if it is none, so that a caller can refuse it."""
     plain = F.translate(cursor, "-_", "+/")

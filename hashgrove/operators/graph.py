@@ -111,12 +111,18 @@ def missing(found: DataFrame, objects: DataFrame) -> DataFrame:
     return found.join(objects.select(*KEY), KEY, "left_anti").select(*KEY)
 
 
-def fetch_difference(links: DataFrame, wants: DataFrame, haves: DataFrame) -> DataFrame:
-    """What a client with ``haves`` lacks of ``wants``: their closure up to the haves, less all the haves reach. One loop walks both."""
+def fetch_difference(links: DataFrame, wants: DataFrame, haves: DataFrame, shallow: DataFrame | None = None, client_shallow: DataFrame | None = None, deepened: DataFrame | None = None) -> DataFrame:
+    """What a client with ``haves`` lacks of ``wants``: their closure up to the haves, less all the haves reach. One loop walks both.
+
+    The wants are walked up to ``shallow``, the haves up to ``client_shallow``. In repositories of deepened (repo_id) the walk goes through
+    the haves, to what lies behind an old boundary of the client's.
+    """
     group = ["walk", "repo_id"]
     marked = lambda df, *w: df.withColumn("walk", F.explode(F.array(*map(F.lit, w))))
     roots = marked(wants.select(*KEY), "want").unionByName(marked(haves.select(*KEY), "have"))
-    found = closure(marked(links, "want", "have"), roots, stop_at=marked(haves.select(*KEY), "want"), group=group)
+    stops = haves if deepened is None else haves.join(deepened.select("repo_id").distinct(), "repo_id", "left_anti")
+    edges = marked(walkable(links, shallow), "want").unionByName(marked(walkable(links, client_shallow), "have"))
+    found = closure(edges, roots, stop_at=marked(stops.select(*KEY), "want"), group=group)
     return found.groupBy(*KEY).agg(F.min("walk").alias("first")).where("first = 'want'").select(*KEY)
 
 

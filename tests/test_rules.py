@@ -147,3 +147,23 @@ def test_checksums_equal_zlib(spark, sf):
 
     got = {r.oid: r.crc for r in QUERIES["pack_checksums"](spark, sf).collect()}
     assert got == {r.oid: zlib.crc32(zlib.compress(bytes(r.bytes))) for r in stored(spark, sf).collect()}
+
+
+def test_cursors_belong_to_their_query(spark):
+    made = table(spark, [("name", "asc", "x", "v1")], "sort string, direction string, name string, value string").select(wire.encode_cursor("sort", "direction", "name", "value").alias("t"))
+    rows = made.unionByName(table(spark, [None, "", "%%"]))
+    schema = "sort string, direction string, name string, value string"
+    got = [tuple(r.o) for r in rows.select(wire.bound_cursor(F.col("t"), schema, {"sort": "name", "direction": "asc"}).alias("o")).collect()]
+    assert [(k and k.value, f) for k, f in got] == [("v1", None), (None, None), (None, None), (None, "bad-cursor")]
+    assert made.select(wire.bound_cursor(F.col("t"), schema, {"sort": "created_at"}).alias("o")).first().o.fault == "query-mismatch"
+
+
+def test_deepened_fetch_and_old_frames(spark):
+    from hashgrove.operators import graph
+
+    links = table(spark, [(1, "c3", "commit", "c2", "commit"), (1, "c2", "commit", "c1", "commit"), (1, "c3", "commit", "t3", "tree"), (1, "c2", "commit", "t2", "tree"), (1, "c1", "commit", "t1", "tree")], "repo_id long, source string, source_type string, target string, target_type string")
+    one = lambda *oids: table(spark, [(1, o) for o in oids], "repo_id long, oid string")
+    lacks = lambda **kw: {r.oid for r in graph.fetch_difference(links, one("c3"), one("c2"), client_shallow=one("c2"), **kw).collect()}
+    assert lacks() == {"c3", "t3"} and lacks(deepened=one("c3")) == {"c3", "t3", "c1", "t1"}
+    frames = table(spark, [(1, bytearray(b"0001"))], "id long, body binary")
+    assert [r.kind for r in wire.frames(frames).collect()] == ["delimiter"] and [r.kind for r in wire.frames(frames, version=1).collect()] == ["malformed"]
