@@ -486,7 +486,10 @@ def link_documents(docs: DataFrame, crowd: int = BIG, dealt: int = DEALT, cell:
         ids = staged(holders.join(ids, "k", "left_semi"), "pair-sets")
         own = may_hold(texts, F.xxhash64("o", "h"), ids, F.xxhash64("o", "h")).where("__may")
         sets = staged(own.select("text").mapInArrow(extract, "k long, s binary"), "sets")
-        return staged(verified(pairs, sets), "links")
+        links = staged(verified(pairs, sets), "links")
+        for done in (sets, ids, pairs):
+            unstage(done)
+        return links
 
     comp = components(linked(first.where("best")))
     comp = merged(comp, linked(apart(first.where("NOT best"), comp)))
