@@ -19,10 +19,12 @@ from hashgrove.llm.words import Words, chunks, distinct, spans_hash
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that retrieves it; n-gram share of question and of answer that confirms it.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.5, 0.5
-#: Words of an entry (longer items are retrieved by overlapping pieces of half as many, and confirmed whole), items of one broadcast index, postings of a block.
-ENTRY_WORDS, INDEX_ITEMS, POSTINGS = 96, 20_000, 16
-#: Total of the best scores of the commonest terms left out of the first bound; the bound is lowered by as much.
+#: Words of an entry (longer items are retrieved by overlapping pieces of half as many, and confirmed whole), items of one broadcast index, entries of a block.
+ENTRY_WORDS, INDEX_ITEMS, BLOCK = 96, 20_000, 4
+#: The commonest lists whose best impacts total at most this count with their best in every block.
 SLACK = 0.08
+#: Pairs of a passage and a block of entries whose maxima are summed at a time.
+CELLS = 1 << 20
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -101,17 +103,25 @@ class Index:
         self.ids = [[i for i, _ in p] for p in lists]
         self.impacts = [[x for _, x in p] for p in lists]
         self.best = np.array([max(x) for x in self.impacts])
-        self.block_best = [[max(x[k : k + POSTINGS]) for k in range(0, len(x), POSTINGS)] for x in self.impacts]
-        rare = np.ones(len(lists), dtype=bool)
+        self.blocks: list[list[int]] = []
+        self.block_best: list[list[float]] = []
+        for ids, impacts in zip(self.ids, self.impacts):
+            best: dict[int, float] = {}
+            for i, x in zip(ids, impacts):
+                best[i // BLOCK] = max(x, best.get(i // BLOCK, 0.0))
+            self.blocks.append(list(best))
+            self.block_best.append(list(best.values()))
+        self.flat = np.zeros(len(lists))
         left = SLACK
         for t in sorted(range(len(lists)), key=lambda t: -len(lists[t])):
             if self.best[t] <= left and len(lists[t]) > 1:
-                rare[t], left = False, left - self.best[t]
-        self.slack = SLACK - left
-        kept = [p if rare[t] else [] for t, p in enumerate(lists)]
-        self.rare_at = np.concatenate(([0], np.cumsum([len(p) for p in kept]))).astype(np.int64)
-        self.rare_entry = np.array([i for p in kept for i, _ in p], dtype=np.int64)
-        self.rare_impact = np.array([x for p in kept for _, x in p])
+                self.flat[t], left = self.best[t], left - self.best[t]
+        kept = [t for t in range(len(lists)) if not self.flat[t]]
+        sizes = np.zeros(len(lists), dtype=np.int64)
+        sizes[kept] = [len(self.blocks[t]) for t in kept]
+        self.block_at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.block_id = np.array([b for t in kept for b in self.blocks[t]], dtype=np.int64)
+        self.block_max = np.array([x for t in kept for x in self.block_best[t]])
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words that no entry has."""
@@ -124,7 +134,7 @@ class Index:
         """Entries of [start, stop) whose summed impacts on the terms reach ``least``, by block-max WAND.
 
         Lists stand at their next entry; the pivot is the first entry that the lists' best impacts could lift to the
-        threshold; the best impacts of the blocks around it decide whether it is scored or the lists skip on.
+        threshold; their best impacts in its block decide whether it is scored or the lists skip on.
         """
         stop, end, found = stop or len(self.entries), 1 << 60, []
         lists = []
@@ -147,17 +157,13 @@ class Index:
             target = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == target:
                 pivot += 1
-            reach, skip = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else end
-            for x in lists[: pivot + 1]:
-                ids, k = self.ids[x[2]], x[1]
-                block = k // POSTINGS
-                while (block + 1) * POSTINGS <= len(ids) and ids[min((block + 1) * POSTINGS, len(ids)) - 1] < target:
-                    block += 1
-                if block < len(self.block_best[x[2]]):
-                    reach += self.block_best[x[2]][block]
-                    skip = min(skip, ids[min((block + 1) * POSTINGS, len(ids)) - 1] + 1)
+            reach, block = 0.0, target // BLOCK
+            for _, _, t in lists[: pivot + 1]:
+                at = bisect_left(self.blocks[t], block)
+                if at < len(self.blocks[t]) and self.blocks[t][at] == block:
+                    reach += self.block_best[t][at]
             if reach < eps:
-                to = max(skip, target + 1)
+                to = min((block + 1) * BLOCK, lists[pivot + 1][0] if pivot + 1 < len(lists) else end)
             elif lists[0][0] == target:
                 score = sum(self.impacts[x[2]][x[1]] for x in lists[: pivot + 1])
                 if score >= eps:
@@ -166,19 +172,37 @@ class Index:
             else:
                 to = target
             for x in lists[: pivot + 1]:
-                ids, k = self.ids[x[2]], x[1]
-                while k < len(ids) and ids[k] < to:
-                    k += 1
+                ids, k = self.ids[x[2]], bisect_left(self.ids[x[2]], to, x[1])
                 x[0], x[1] = (ids[k], k) if k < len(ids) and ids[k] < stop else (end, k)
             lists = [x for x in lists if x[0] < end]
         return found
 
+    def live(self, pairs: np.ndarray, passages: int) -> Iterator[tuple[int, int]]:
+        """(passage, block) of every block of entries whose best impacts on the passage's terms reach RETRIEVE.
+
+        ``pairs`` is sorted: passage times the number of terms plus the term. All passages skip their other blocks at once;
+        what stays is walked by ``wand``.
+        """
+        width, blocks = len(self.terms), -(-len(self.entries) // BLOCK)
+        slab = max(1, CELLS // blocks)
+        for first in range(0, passages, slab):
+            rows = min(slab, passages - first)
+            a, b = np.searchsorted(pairs, (first * width, (first + rows) * width))
+            at, term = pairs[a:b] // width - first, pairs[a:b] % width
+            size = np.diff(self.block_at)[term]
+            place = np.repeat(self.block_at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cell = np.repeat(at, size) * blocks + self.block_id[place]
+            reach = np.bincount(cell, weights=self.block_max[place], minlength=rows * blocks).reshape(rows, blocks)
+            flat = np.bincount(at, weights=self.flat[term], minlength=rows)
+            for p, block in np.argwhere(reach >= RETRIEVE - flat[:, None] - 1e-9).tolist():
+                yield first + p, block
+
     def search(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float, float]]]:
         """For each text, (item, score, question overlap, answer overlap) of the confirmed items, best passage of each.
 
         Passages are two strides of words, a stride apart; a stride is the longest entry, so every entry lies whole in
-        one passage. WAND is asked of passages whose rarer words could lift some entry to the threshold even if every common
-        word matched; the others hold nothing. Of an item longer than an entry, any piece that a passage retrieves has the
+        one passage. Each passage's terms go through the index by block-max WAND, over all passages of a piece together:
+        ``live`` skips blocks by their best impacts, ``wand`` walks the rest. Of an item longer than an entry, any piece that a passage retrieves has the
         whole item scored and confirmed over the passages around: one to two lengths of it to either side.
         """
         out: list[list[tuple[int, float, float, float]]] = []
@@ -195,25 +219,18 @@ class Index:
         text = w.text_of()
         passage = base[text] + (np.arange(len(text)) - w.bound[text]) // self.stride
         known = np.flatnonzero(term >= 0)
-        size = np.diff(self.rare_at)[term[known]] if len(known) else np.zeros(0, dtype=np.int64)
-        if not size.sum() and self.slack < RETRIEVE:
+        if not len(known):
             return [[] for _ in range(n)]
-        place = np.repeat(self.rare_at[term[known]] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        at = np.repeat(passage[known], size)
-        before = at > np.repeat(base[text[known]], size)
-        width, postings = max(1, len(self.entries)), len(self.rare_entry)
-        met = distinct(np.concatenate((at, at[before] - 1)) * postings + np.concatenate((place, place[before])))
-        cell, inverse = np.unique(met // postings * width + self.rare_entry[met % postings], return_inverse=True)
-        bound = np.bincount(inverse, weights=self.rare_impact[met % postings])
-        alive = cell[bound >= RETRIEVE - self.slack - 1e-9] if self.slack < RETRIEVE else np.arange(int(base[-1]) * width)
-        passages, starts = np.unique(alive // width, return_index=True)
+        width, at = len(self.terms), passage[known]
+        before = at > base[text[known]]
+        pairs = distinct(np.concatenate((at, at[before] - 1)) * width + np.concatenate((term[known], term[known][before])))
         seen: set[tuple[int, int, int]] = set()
-        for p, lo_, hi_ in zip(passages.tolist(), starts.tolist(), np.append(starts[1:], len(alive)).tolist()):
+        for p, block in self.live(pairs, int(base[-1])):
             i = int(np.searchsorted(base, p, side="right")) - 1
             lo = int(w.bound[i]) + (p - int(base[i])) * self.stride
             hi = min(lo + 2 * self.stride, int(w.bound[i + 1]))
-            terms = distinct(term[lo:hi])
-            for entry, score in self.wand(terms[terms >= 0].tolist(), RETRIEVE, int(alive[lo_] % width), int(alive[hi_ - 1] % width) + 1):
+            a, b = np.searchsorted(pairs, (p * width, (p + 1) * width))
+            for entry, score in self.wand((pairs[a:b] % width).tolist(), RETRIEVE, block * BLOCK, min((block + 1) * BLOCK, len(self.entries))):
                 e, words = self.entries[entry], w.hash[lo:hi]
                 if e.whole is not None:
                     e, length = e.whole, len(e.whole.words)
