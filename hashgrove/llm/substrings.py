@@ -22,6 +22,8 @@ from hashgrove.llm.words import U64, Words, mix, pieces, spans_hash
 WINDOW, GRAM, RUN = 50, 15, 64
 #: Segments of different content under one minimizer beyond which its windows are compared one by one.
 HOT_SEGMENTS = 256
+#: Parts that the segments of one window are dealt to, so that a window of very many segments is no single task's.
+PARTS = 64
 LAST = (1 << 63) - 1
 
 
@@ -124,7 +126,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     2. Segments of equal content collapse to the least doc_id: later copies are covered whole.
     3. Segments that share a minimizer with different content are streamed, by ascending doc_id, through the
        suffix automaton of those before them. A minimizer with more than HOT_SEGMENTS contents compares its windows
-       by hash, pre-aggregated, instead, so no task holds an unbounded shard.
+       by hash, pre-aggregated, instead, so no task holds an unbounded shard; a window's least id goes to every part
+       that its segments are dealt to.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
@@ -192,9 +195,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     span = "array<struct<a:int,b:int>>"
     cold = cuts.where("words IS NOT NULL").repartition("key").sortWithinPartitions("key", "doc_id").select("key", "seg", "doc_id", "words").mapInPandas(stream, f"key long, seg long, spans {span}")
-    hot = cuts.where("words IS NULL")
-    oldest = hot.groupBy("main", "check").agg(F.min("doc_id").alias("oldest"))
-    hot = hot.join(oldest, ["main", "check"]).where("doc_id > oldest").groupBy("key", "seg").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + window).alias("b"))).cast(span).alias("spans"))
+    hot = cuts.where("words IS NULL").withColumn("part", F.pmod("seg", F.lit(PARTS)))
+    ends = hot.groupBy("main", "check", "part").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    oldest = ends.groupBy("main", "check").agg(F.min("lo").alias("oldest"), F.max("hi").alias("latest"), F.collect_list("part").alias("parts")).where("oldest < latest")
+    hot = hot.join(oldest.select("main", "check", "oldest", F.explode("parts").alias("part")), ["main", "check", "part"]).where("doc_id > oldest").groupBy("key", "seg").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + window).alias("b"))).cast(span).alias("spans"))
     found = cold.union(hot)
 
     copies = hits.join(segments.select("key", "seg", "least"), ["key", "seg"])
