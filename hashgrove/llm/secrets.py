@@ -17,9 +17,10 @@ CREDENTIAL = "token secret password passwd pwd credential credentials apikey api
 HARMLESS = "example sample dummy placeholder changeme test commit sha sha1 sha256 md5 checksum digest uuid guid id hash revision build version".split()
 DICTIONARY = "access account active admin after before build change class client code column commit config content count create data date default delete design device document element error event example field file filter first format function global group handler header image index input instance item label last length level link list local login main manager memory message method model module name network node number object option order output package page parameter parent password path pattern point position process product project property query random record reference report request result return role schema score search secret section select sequence server service session setting source start state status string style system table target template test text time title token type update user value version view window word".split()
 
+#: Linear in the text: a name starts at the start of its run, and only the last credential word of a run can stand before the sign.
 CANDIDATE = re.compile(
     r"(?P<k>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END (?:[A-Z]+ )*PRIVATE KEY-----)"
-    r"|(?i:\b[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth(?:orization)?)[a-z_]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?i:(?:bearer|basic|token)\s+)?(?P<a>[^\s\"'<>,;]{6,})"
+    r"|(?i:(?<![a-z_.-])(?>[a-z_.-]*(?:token|secret|passw(?:or)?d|pwd|credentials?|api_?key|access_key|private_key|auth(?:orization)?))[a-z_]*+)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?i:(?:bearer|basic|token)\s+)?(?P<a>[^\s\"'<>,;]{6,})"
     r"|(?<![A-Za-z0-9+/_=.-])(?P<b>[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{16,})*={0,2})"
 )
 MAY_HOLD = r"[A-Za-z0-9+/_-]{16}|(?i:token|secret|passw|pwd|credential|api_?key|access_key|private_key|auth)"
