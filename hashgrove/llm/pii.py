@@ -6,6 +6,7 @@ only repeats its own scan tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,9 @@ KINDS = (
          "-", 0.35, False, ("ssn", "social security", "tax id", "taxpayer")),
 )
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 40, 0.3, 0.5
+#: Code points of a block of text, and values or spans of a group: a text of many matches is never walked or copied for each.
+BLOCK_BITS, GROUP = 9, 64
+BLOCK = 1 << BLOCK_BITS
 BYTE_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
 
@@ -80,10 +84,22 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def near(text: Column, start: Column, end: Column, words: tuple[str, ...]) -> Column:
+def blocks_of(text: Column) -> Column:
+    """A text as pieces of BLOCK code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """Code points of a text in blocks; the time depends on length, not on start."""
+    first = F.shiftright(start, BLOCK_BITS)
+    count = F.shiftright(start + length - 1, BLOCK_BITS) - first + 1
+    return F.substr(F.array_join(F.slice(blocks, first + 1, count), ""), start - F.shiftleft(first, BLOCK_BITS) + 1, length)
+
+
+def near(blocks: Column, start: Column, end: Column, words: tuple[str, ...]) -> Column:
     """Whether a context word, as a whole word, stands within CONTEXT_CHARS of a span."""
-    before = F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    around = F.lower(F.concat(before, F.lit(" "), F.substr(text, end + 1, F.lit(CONTEXT_CHARS))))
+    before = cut(blocks, F.greatest(start - CONTEXT_CHARS, F.lit(0)), F.least(start, F.lit(CONTEXT_CHARS)))
+    around = F.lower(F.concat(before, F.lit(" "), cut(blocks, end, F.lit(CONTEXT_CHARS))))
     return around.rlike(whole_word(words))
 
 
@@ -91,22 +107,34 @@ def whole_word(words: tuple[str, ...]) -> str:
     return rf"(?:^|[^\p{{L}}])(?:{'|'.join(words)})(?:$|[^\p{{L}}])"
 
 
-def spans_of(kind: Kind, rank: int, text: Column, found: Column, gaps: Column) -> Column:
-    """The confirmed spans of one kind. Matches and the gaps between them add up to code-point offsets."""
-    parts = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each value and all before it, for an integer array column that is not empty.
+
+    An accumulator is copied at every step, so none holds more than GROUP values or one of each GROUP."""
+    step = lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / GROUP).cast("int")), lambda i: F.slice(values, i * GROUP + 1, F.lit(GROUP)))
+    totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), op))
+    before = F.aggregate(F.slice(totals, F.lit(1), F.size(totals) - 1), F.array(F.lit(0)), step)
+    return F.flatten(F.zip_with(groups, before, lambda g, o: F.slice(F.aggregate(g, F.array(o), step), 2, GROUP)))
+
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["g"]
-        end = start + F.coalesce(F.length(part["m"]), F.lit(0))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near(text, start, end, kind.context), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), part["m"].alias("text"), score.alias("score"), F.lit(kind.base).alias("base"))
-        keep = part["m"].isNotNull() & confirmed(kind.name, part["m"])
-        if not kind.base:
-            keep = keep & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+def spans_of(kind: Kind, rank: int, blocks: Column, found: Column, ends: Column) -> Column:
+    """The confirmed spans of one kind, from its matches and where they end."""
+    parts = F.filter(F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), lambda x: x["m"].isNotNull() & confirmed(kind.name, x["m"]))
 
-    return F.when(F.size(found) > 0, F.aggregate(parts, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+    def span(x: Column) -> Column:
+        start = x["e"] - F.length(x["m"])
+        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near(blocks, start, x["e"], kind.context), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), x["e"].alias("end"), F.lit(kind.name).alias("kind"), x["m"].alias("text"), score.alias("score"), F.lit(kind.base).alias("base"))
+
+    spans = F.transform(parts, span)
+    return F.when(F.size(found) > 0, spans if kind.base else F.filter(spans, lambda x: x["score"] >= THRESHOLD)).otherwise(F.array()).cast(SPAN)
+
+
+def in_groups(spans: Column) -> Column:
+    """Sorted spans by GROUP, each group with the range that it covers."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int")), lambda i: F.slice(spans, i * GROUP + 1, F.lit(GROUP)))
+    return F.transform(groups, lambda g: F.struct(g[0]["start"].alias("start"), F.array_max(F.transform(g, lambda y: y["end"])).alias("end"), g.alias("spans")))
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -124,14 +152,18 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "pii") ->
         may = F.contains(body, F.lit(k.needs)) if k.needs in ("@", "+") else digits
         tmp[f"__found_{k.name}"] = F.when(may, F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     df = docs.withColumns(tmp)
-    df = df.withColumns({f"__gaps_{k.name}": F.when(F.size(f"__found_{k.name}") > 0, F.split(body, k.pattern, -1)) for k in KINDS})
-    df = df.withColumns({f"__spans_{k.name}": spans_of(k, i, body, F.col(f"__found_{k.name}"), F.col(f"__gaps_{k.name}")) for i, k in enumerate(KINDS)})
-    base = F.concat(*(F.col(f"__spans_{k.name}") for k in KINDS if k.base))
-    more = F.concat(*(F.col(f"__spans_{k.name}") for k in KINDS if not k.base))
-    df = df.withColumn("__base", base)
-    more = F.filter(more, lambda x: ~F.exists(F.col("__base"), lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    df = df.withColumn(out, F.sort_array(F.concat(F.col("__base"), more)))
-    return df.drop("__base", *(f"__{p}_{k.name}" for p in ("found", "gaps", "spans") for k in KINDS))
+    some = F.greatest(*(F.size(f"__found_{k.name}") for k in KINDS)) > 0
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    lengths = {f"__lengths_{k.name}": F.when(F.size(f"__found_{k.name}") > 0, F.zip_with(f"__found_{k.name}", F.split(body, k.pattern, -1), lambda m, g: size(g) + size(m))) for k in KINDS}
+    df = df.withColumns(lengths | {"__blocks": F.when(some, blocks_of(body))})
+    df = df.withColumns({f"__spans_{k.name}": spans_of(k, i, F.col("__blocks"), F.col(f"__found_{k.name}"), running(F.col(f"__lengths_{k.name}"), lambda a, x: a + x)) for i, k in enumerate(KINDS)})
+    df = df.withColumns({"__base": F.sort_array(F.concat(*(F.col(f"__spans_{k.name}") for k in KINDS if k.base))), "__more": F.concat(*(F.col(f"__spans_{k.name}") for k in KINDS if not k.base))})
+    df = df.withColumn("__groups", F.when((F.size("__base") > 0) & (F.size("__more") > 0), in_groups(F.col("__base"))))
+    meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    covered = lambda x: F.exists("__groups", lambda g: meets(x, g) & F.exists(g["spans"], lambda y: meets(x, y)))
+    clear = F.when(F.col("__groups").isNull(), F.col("__more")).otherwise(F.filter("__more", lambda x: ~covered(x)))
+    df = df.withColumn(out, F.when(F.size("__more") > 0, F.sort_array(F.concat(F.col("__base"), clear))).otherwise(F.col("__base")))
+    return df.drop("__base", "__more", "__groups", "__blocks", *(f"__{p}_{k.name}" for p in ("found", "lengths", "spans") for k in KINDS))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,15 +174,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     df = find_personal_data(docs, text, "__pii")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        take = span["start"] >= state["at"]
-        cut = F.concat(state["out"], F.substr(body, state["at"] + 1, span["start"] - state["at"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(F.when(take, span["end"]).otherwise(F.greatest(span["end"], state["at"])).alias("at"), F.when(take, cut).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate("__pii", zero, step, lambda s: F.concat(s["out"], F.substr(body, s["at"] + 1)))
-    return df.withColumn(text, F.when(F.col(f"`{text}`").isNull(), F.lit(None)).otherwise(clean)).drop("__pii")
+    df = df.withColumns({"__blocks": F.when(F.size("__pii") > 0, blocks_of(body)), "__ends": F.transform("__pii", lambda x: x["end"])})
+    df = df.withColumn("__tops", F.when(F.size("__pii") > 0, running(F.col("__ends"), lambda a, x: F.greatest(a, x))))
+    before = F.concat(F.array(F.lit(0)), F.slice("__tops", F.lit(1), F.size("__tops") - 1))
+    parts = F.filter(F.zip_with("__pii", before, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    marked = F.transform(parts, lambda x: F.concat(cut(F.col("__blocks"), x["at"], x["start"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    clean = F.concat(F.array_join(marked, ""), F.substr(body, F.element_at("__tops", -1) + 1))
+    clean = F.when(F.col(f"`{text}`").isNull(), F.lit(None)).when(F.size("__pii") > 0, clean).otherwise(body)
+    return df.withColumn(text, clean).drop("__pii", "__blocks", "__ends", "__tops")
 
 
 def digest(docs: DataFrame) -> DataFrame:
